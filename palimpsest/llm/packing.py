@@ -49,7 +49,7 @@ def load_tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
 
 def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of each document."""
-    schema = docs.select(docs[id_col].alias("doc_id")).schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = docs.select(docs[id_col].alias("doc_id")).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", "binary")
 
