@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html, language, packing, substring_dedup, suffix_dedup, topk, toxicity
+from . import bpe, exact_dedup, html, jaccard, language, packing, substring_dedup, suffix_dedup, topk, toxicity
 from ._store import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -13,6 +13,10 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), RANKS, PATTERN)
 
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_exact_topk, op4_best_fit_packing, op5_substring_dedup, op6_html_text, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_exact_topk, op4_best_fit_packing, op5_substring_dedup, op6_html_text, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
