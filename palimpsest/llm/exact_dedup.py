@@ -11,7 +11,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """``docs`` with one row for each different text, all columns as they are."""
-    kept = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """``docs`` with one row for each different text, all columns as they are.
+
+    Rows are ranked by hash and content; each task first drops all but its best row of a text, so that a text
+    which a third of all rows share sends one row a task.
+    """
+    content = F.coalesce(docs[text_col], F.lit(""))
+    order = docs[id_col].desc_nulls_last() if keep == "largest" else docs[id_col].asc_nulls_last()
+    best = Window.partitionBy(F.unhex(F.md5(content)), content).orderBy(order)
+    return docs.withColumn("__rank", F.row_number().over(best)).filter("__rank = 1").drop("__rank")

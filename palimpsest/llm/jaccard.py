@@ -310,5 +310,6 @@ def join_components(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_co
 def keep_one(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one of least id, all columns as they are."""
     found = join_components(docs, n, id_col, text_col)
-    kept = found.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("__gone"), "left_anti")

@@ -118,10 +118,11 @@ def learn_profiles(labelled: DataFrame, lang_col: str = "lang", id_col: str = "d
     return profiles
 
 
-def predict_language(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with lang_pred and score (1 less the distance over the greatest there can be)."""
+def predict_language(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score", with_text: bool = False) -> DataFrame:
+    """``docs`` with lang_as and score_as (1 less the distance over the greatest there can be); its text, if kept, comes last."""
     rest = [f.name for f in docs.schema.fields if f.name != text_col]
-    schema = docs.select(*[docs[c] for c in rest]).schema.add("lang_pred", "string").add("score", "double")
+    kept = len(rest) + with_text
+    schema = docs.select(*[docs[c] for c in [*rest, text_col][:kept]]).schema.add(lang_as, "string").add(score_as, "double")
     langs = sorted(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], text_col:
                     out = np.where(there < 0, PROFILE, np.minimum(np.abs(there - np.arange(len(ids))), PROFILE)).sum(axis=1)
                     k = int(out.argmin())
                     best.append(langs[k]), score.append(float(1 - out[k] / (PROFILE * len(ids))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(best, pa.string()), pa.array(score, pa.float64())], schema.fieldNames())
 
     return docs.select(*[docs[c] for c in rest], docs[text_col]).mapInArrow(run, schema)
 
@@ -158,3 +159,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     named = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     profiles = learn_profiles(named.filter(~held_out()))
     return predict_language(named.select("doc_id", held_out().alias("held_out"), "text"), profiles)
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without those that no language fits (no text, or no letters); all other rows and columns as they are."""
+    profiles = learn_profiles(docs.filter(~held_out(id_col)), lang_col, id_col, text_col)
+    found = predict_language(docs, profiles, text_col, "__lang", "__score", with_text=True)
+    return found.filter(F.col("__lang") != UNKNOWN).select(*docs.columns)

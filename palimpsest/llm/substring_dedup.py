@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from . import _text as T
 from ._store import materialize
@@ -134,19 +135,24 @@ def parse(start: np.ndarray, source: np.ndarray, src_start: np.ndarray, n: int =
     return [(int(start[a]), int(start[b] - start[a]) + n, source[a], int(src_start[a])) for a, b in zip(begin, end)]
 
 
-def remove_copies(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """One row per row: doc_id, n_words, n_removed, factors, kept_sha256, and the kept text if asked for.
+def remove_copies(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text", with_factors: bool = True, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row: doc_id, n_words, n_removed, kept_sha256, and if asked for factors, kept_text and carried columns.
 
     factors: array<struct<start, length, src_id, src_start>> in words, the duplicate spans with their sources.
+    Carried columns come last, as carried_0, carried_1, ...
     """
-    named = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    carried = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
+    named = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *carried)
     found = materialize(factors(named, n), "factors")
-    joined = named.join(found, "doc_id", "left")
-    kind = dict(named.dtypes)["doc_id"]
+    joined = named.join(found, "doc_id", "left").select("doc_id", "text", "starts", *[f"carried_{i}" for i in range(len(carry))])
     schema = named.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    extra = [("factors", f"array<struct<start:int,length:int,src_id:{kind},src_start:int>>"), ("kept_text", "string")] if with_text else []
-    for name, type_ in extra:
-        schema = schema.add(name, type_)
+    if with_factors:
+        item = StructType().add("start", "integer").add("length", "integer").add("src_id", named.schema["doc_id"].dataType).add("src_start", "integer")
+        schema = schema.add("factors", ArrayType(item))
+    if with_text:
+        schema = schema.add("kept_text", "string")
+    for i in range(len(carry)):
+        schema = schema.add(named.schema[f"carried_{i}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,29 +166,41 @@ def remove_copies(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_
                         own = starts.values
                         start = own.field("start").to_numpy()
                         order = np.argsort(start, kind="stable")
+                        start = start[order]
                         covered = np.zeros(len(words) + 1, np.int64)
-                        start = np.unique(start[order]) if not with_text else start[order]
-                        np.add.at(covered, start, 1)
+                        np.add.at(covered, np.minimum(start, len(words)), 1)
                         np.add.at(covered, np.minimum(start + n, len(words)), -1)
                         keep = np.cumsum(covered[:-1]) == 0
                         removed = len(words) - int(keep.sum())
-                        if with_text:
-                            source = own.field("src_id").to_numpy(zero_copy_only=False)[order]
-                            spans = parse(start, source, own.field("src_start").to_numpy()[order], n)
-                        kept = b" ".join(compress(words, keep.tolist()))
+                        if with_factors:
+                            spans = parse(start, own.field("src_id").to_numpy(zero_copy_only=False)[order], own.field("src_start").to_numpy()[order], n)
+                        words, total = list(compress(words, keep.tolist())), len(words)
                     else:
-                        kept = b" ".join(words)
-                    for column, value in zip(out, (len(words), removed, hashlib.sha256(kept).hexdigest(), spans, kept)):
+                        total = len(words)
+                    kept = b" ".join(words)
+                    for column, value in zip(out, (total, removed, hashlib.sha256(kept).hexdigest(), spans, kept)):
                         column.append(value)
                 columns = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-                if with_text:
+                if with_factors:
                     item = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("src_id", part.column(0).type), ("src_start", pa.int32())])
-                    columns += [pa.array([[dict(zip(("start", "length", "src_id", "src_start"), s)) for s in spans] for spans in out[3]], pa.list_(item)), pa.array(out[4], pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+                    columns.append(pa.array([[dict(zip(("start", "length", "src_id", "src_start"), s)) for s in spans] for spans in out[3]], pa.list_(item)))
+                if with_text:
+                    columns.append(pa.array(out[4], pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*columns, *part.columns[3:]], schema.fieldNames())
 
-    return joined.select("doc_id", "text", "starts").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    return remove_copies(docs, n, with_text=False)
+    return remove_copies(docs, n, with_factors=False, with_text=False)
+
+
+def cut_copies(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with what is kept of each text (words joined by one blank), and its length where a column holds it."""
+    rest = tuple(c for c in docs.columns if c != text_col)
+    found = remove_copies(docs, n, id_col, text_col, with_factors=False, carry=rest)
+    columns = {c: F.col(f"carried_{i}").alias(c) for i, c in enumerate(rest)} | {text_col: F.col("kept_text").alias(text_col)}
+    if length_col:
+        columns[length_col] = F.length("kept_text").cast(docs.schema[length_col].dataType).alias(length_col)
+    return found.select(*[columns[c] for c in docs.columns])
