@@ -194,9 +194,9 @@ class PrefixEncoder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids; an unknown id is an error."""
-        n = self.lengths[ids]
-        if len(n) and not n.all():
+        if len(ids) and (int(ids.max()) >= len(self.lengths) or not self.lengths[ids].all()):
             raise ValueError("unknown token id")
+        n = self.lengths[ids]
         ends = np.cumsum(n)
         return self.content[np.arange(ends[-1] if len(n) else 0) + np.repeat(self.starts[ids] - (ends - n), n)].tobytes()
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import free_name
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
@@ -44,4 +46,5 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     content = F.coalesce(docs[text_col], F.lit(""))
     order = docs[id_col].desc_nulls_last() if keep == "largest" else docs[id_col].asc_nulls_last()
     best = Window.partitionBy(F.unhex(F.md5(content)), content).orderBy(order)
-    return docs.withColumn("__rank", F.row_number().over(best)).filter("__rank = 1").drop("__rank")
+    rank = free_name(docs, "rank")
+    return docs.withColumn(rank, F.row_number().over(best)).filter(F.col(rank) == 1).drop(rank)

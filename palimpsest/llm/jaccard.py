@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import materialize
+from ._store import free_name, materialize
 from .components import connected_components
 
 #: The threshold 0.8 as fractions; the bounds below follow from it.
@@ -310,6 +310,7 @@ def join_components(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_co
 def keep_one(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one of least id, all columns as they are."""
     found = join_components(docs, n, id_col, text_col)
-    gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    name = free_name(docs, "gone")
+    gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone[name], "left_anti")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import free_name
+
 PROFILE = 400
 SAMPLE_PER_LANGUAGE = 500
 UNKNOWN = "und"
@@ -164,5 +166,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without those that no language fits (no text, or no letters); all other rows and columns as they are."""
     profiles = learn_profiles(docs.filter(~held_out(id_col)), lang_col, id_col, text_col)
-    found = predict_language(docs, profiles, text_col, "__lang", "__score", with_text=True)
-    return found.filter(F.col("__lang") != UNKNOWN).select(*docs.columns)
+    lang, score = free_name(docs, "found_lang"), free_name(docs, "found_score")
+    found = predict_language(docs, profiles, text_col, lang, score, with_text=True)
+    return found.filter(F.col(lang) != UNKNOWN).select(*docs.columns)

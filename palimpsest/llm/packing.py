@@ -35,16 +35,16 @@ PIECES_PER_PACKER = 20_000
 
 @functools.lru_cache(maxsize=2)
 def load_tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of a tokenizer's JSON file; its special strings are ordinary text."""
+    """The byte-level vocabulary of a tokenizer's JSON file, with its added tokens."""
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
-    special = {t["content"] for t in model["added_tokens"]}
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
     # the printable stand-ins of byte-level vocabularies: printable Latin-1 is itself, the rest follow from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
     ranks = {bytes(byte_of[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,7 +60,10 @@ def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY,
                 part = batch.slice(at, 512)
                 row, piece, start, length, crc, out = [], [], [], [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.array((encoding.encode_ordinary(text) if text else []) + [end_id], "<u4")
+                    # an added token that a text spells out is that token, as in the tokenizer's own library
+                    spelt = text and any(x in text for x in encoding.special_tokens_set)
+                    found = encoding.encode(text, allowed_special="all") if spelt else encoding.encode_ordinary(text or "")
+                    ids = np.array([*found, end_id], "<u4")
                     first = (len(ids) - 1) % capacity + 1
                     cuts = [0, *range(first, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
