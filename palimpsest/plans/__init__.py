@@ -1,9 +1,144 @@
 """Registered queries over the driver's tables, and their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..functions import scores, text
+from ..operators import analytics, graph, memory, retrieval
+from ..sources import frames, parsers
+from ..streaming import usage
+from .sql import SQL
+
+AS_OF = "2024-02-01 00:00:00"
+TERMS = ["the", "and", "that", "with"]
+K = 20
+
+
+def _memories(f: Callable, *args, **kwargs) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: f(frames.memories(spark, sf), *args, **kwargs)
+
+
+def _active(f: Callable, *args, **kwargs) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: f(frames.active(frames.memories(spark, sf)), *args, **kwargs)
+
+
+def _events(f: Callable, *args, **kwargs) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: f(frames.table(spark, sf, "events"), *args, **kwargs)
+
+
+def _query_vector(spark: SparkSession, sf: str) -> list[float]:
+    """The embedding of the row with id 0, as a caller would pass it."""
+    return [float(x) for x in frames.vectors(spark, sf).filter("id = 0").first().embedding]
+
+
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.nearest(frames.vectors(spark, sf), _query_vector(spark, sf), K)
+
+
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    words = retrieval.ranked(retrieval.bm25(frames.active(frames.memories(spark, sf)), TERMS, K))
+    near = retrieval.ranked(retrieval.nearest(frames.vectors(spark, sf), _query_vector(spark, sf), K))
+    return retrieval.fuse([words, near], K)
+
+
+def recall_layers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frames.active(frames.memories(spark, sf))
+    score = lambda c: F.col(c).cast("double").alias("score")
+    statics = rows.filter("is_static").select("id", F.lit(100.0).alias("score"))
+    words = retrieval.bm25(rows, TERMS, K).select("id", (F.col("score") * 50).alias("score"))
+    important = rows.filter("importance >= 8").select("id", score("importance"))
+    newest = rows.select("id", F.lit(1.0).alias("score"))
+    return retrieval.recall([(statics, 5), (words, K), (important, K), (newest, K)], K)
+
+
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers and parts that line items join, as typed links."""
+    kinds = F.array(*[F.lit(k) for k in ("similarity", "caused_by", "updates", "extends", "consolidates", "related")])
+    both = frames.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    kind, weight = F.element_at(kinds, ((F.col("s") + F.col("p")) % 6 + 1).cast("int")), (0.5 + (F.col("p") % 5) / 10.0)
+    ahead = both.select((F.col("s") + 1_000_000_000).alias("source_id"), F.col("p").alias("target_id"), weight.alias("similarity"), kind.alias("type"))
+    return ahead.union(ahead.select("target_id", "source_id", "similarity", "type"))
+
+
+def pagerank_links(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.pagerank(links(spark, sf), rounds=5).select("id", F.round("rank", 9).alias("rank"))
+
+
+def unlinked_memories(spark: SparkSession, sf: str) -> DataFrame:
+    labels = frames.table(spark, sf, "labels")
+    ends = labels.select(F.col("doc_id").alias("source_id"), (F.col("doc_id") + 1).alias("target_id"))
+    return memory.unlinked(frames.active(frames.memories(spark, sf)), ends)
+
+
+def question_types(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.table(spark, sf, "conversations").select("conv_id", "turn", text.question_type(F.coalesce("text", F.lit(""))).alias("type"))
+
+
+def part_name_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    same = text.jaccard(text.bigrams(F.col("p_name")), text.bigrams(F.col("p_type")))
+    return frames.table(spark, sf, "part").select("p_partkey", F.round(same, 6).alias("similarity"))
+
+
+def token_estimates(rows: DataFrame) -> DataFrame:
+    return rows.select("id", text.estimated_tokens(F.col("content")).alias("tokens"))
+
+
+def contradiction_hints(rows: DataFrame) -> DataFrame:
+    return rows.filter(text.contradicts(F.coalesce("content", F.lit("")))).select("id")
+
+
+def link_weights(rows: DataFrame) -> DataFrame:
+    return rows.select("source_id", "target_id", "type", scores.link_weight(F.col("type")).alias("weight")).distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "search_bm25": _active(retrieval.bm25, TERMS, K),
+    "vector_topk": vector_topk,
+    "hybrid_search": hybrid_search,
+    "recall_layers": recall_layers,
+    "list_recent": _active(memory.recent, 50, category="en", source=None),
+    "stale_high_value": _active(memory.stale, AS_OF, 20.0, 50),
+    "contradiction_hints": _memories(contradiction_hints),
+    "access_tiers": _memories(memory.access_tiers),
+    "category_histogram": _memories(memory.histogram, "category"),
+    "snapshot_at_time": _memories(memory.snapshot, "2024-01-20 00:00:00"),
+    "versions_at_time": _memories(memory.versions_at, "2024-01-20 00:00:00"),
+    "version_chains": _memories(memory.version_chains),
+    "decay_scores": _memories(memory.decay, "2025-06-01 00:00:00"),
+    "auto_archive": _memories(memory.archivable, "2034-06-01 00:00:00", floor=0.5),
+    "gc_counts": _memories(memory.reclaimable),
+    "tenant_report": _memories(memory.tenants),
+    "token_estimates": _memories(token_estimates),
+    "unlinked_memories": unlinked_memories,
+    "current_state": _events(memory.state, ["user_id", "event_type"], ["ts", "event_id"], "value"),
+    "usage_daily": _events(analytics.usage_daily),
+    "usage_totals": _events(analytics.usage_totals),
+    "access_pattern": _events(analytics.access_pattern),
+    "metric_summary": _events(analytics.metric_summary),
+    "feedback_precision": _events(analytics.precision, ["purchase", "click"]),
+    "sla_report": _events(analytics.service_levels, 100.0, 200.0, "error"),
+    "error_groups": _events(analytics.groups),
+    "agent_trust": _events(analytics.trust),
+    "preference_strength": _events(analytics.strengths),
+    "session_episodes": _events(analytics.sessions),
+    "stream_usage_daily": lambda spark, sf: usage.run_available(spark, sf, "events.parquet"),
+    "html_titles": lambda spark, sf: parsers.html_titles(frames.table(spark, sf, "pages")),
+    "conversation_transcripts": lambda spark, sf: parsers.transcripts(frames.table(spark, sf, "conversations")),
+    "question_types": question_types,
+    "part_name_similarity": part_name_similarity,
+    "pagerank_links": pagerank_links,
+    "node_roles": lambda spark, sf: graph.roles(links(spark, sf)),
+    "link_weights": lambda spark, sf: link_weights(links(spark, sf)),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
