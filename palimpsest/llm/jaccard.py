@@ -8,10 +8,11 @@ agree on one bucket: all pairs that can be linked meet in a tile, and sets that
 seldom do. A set whose elements leave too many buckets empty for that argument also enters tiles by each
 element of its prefix (its least hashes), which finds its links to sets of the same kind.
 
-Tiles are resolved without listing their pairs: each set is compared with the tile's first; those that are
-still apart (after components have been taken) are compared by the bitmaps: bits in common, and what the
-bitmaps' collisions can hide, bound the overlap from above. Only pairs that pass are intersected exactly, as
-sorted arrays. No tile, however large, is gathered: a large one is compared in bounded blocks.
+Tiles are resolved without listing their pairs: each set is compared with the tile's first. Where that leaves
+sets of a tile in different components, the sets are compared by the bitmaps: bits in common, and what the
+bitmaps' collisions can hide, bound the overlap from above. Of the pairs that pass, first as few as would join
+the sets are intersected exactly, as sorted arrays, and then those whose components are still apart. Nothing
+large is gathered: many sets are compared in bounded blocks, two at a time.
 
 Defined results. Without words (or text) a set is empty and linked with nothing. With fewer than n words the
 whole sequence is the only n-gram. Rows that repeat an id count as rows of one document: the greatest set
@@ -38,7 +39,9 @@ N = 5
 #: Ids up to this number are broadcast (8 bytes each); beyond it texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
 TILE_ROWS = 256
-MAX_BITS = 1 << 16
+BITS = 1 << 15
+#: Of a tile's bits, so many are held as a table at a time.
+COLUMNS = 8192
 
 U64 = np.uint64
 
@@ -169,27 +172,64 @@ def shared_tiles(rows: DataFrame) -> DataFrame:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit for each element by the top of its hash; twice as many bits as elements, to the next power of two."""
-    bits = 64
-    while bits < 2 * len(h) and bits < MAX_BITS:
-        bits *= 2
-    out = np.zeros(bits, np.uint8)
-    out[(h >> U64(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
+    """A bit for each element by the top 15 bits of its hash; kept as the places of the set bits while they are few."""
+    at = (h >> U64(49)).astype(np.uint16)
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    if len(at) < BITS // 16:
+        return at.tobytes()
+    out = np.zeros(BITS, np.uint8)
+    out[at] = 1
     return np.packbits(out).tobytes()
 
 
-def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap at a coarser size: the bit of a hash's shorter top."""
-    return bits if len(bits) == size else bits.reshape(size, -1).max(axis=1)
+def places(bits: bytes) -> np.ndarray:
+    """The set bits of a bitmap."""
+    if len(bits) == BITS // 8:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))).astype(np.uint16)
+    return np.frombuffer(bits, np.uint16)
 
 
 def overlap_bounds(maps: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """For each two sets the most elements that they can share: bits in common and the fewer collisions."""
-    bits = [np.unpackbits(np.frombuffer(m, np.uint8)) for m in maps]
-    least = min(map(len, bits))
-    b = np.stack([folded(x, least) for x in bits]).astype(np.float32)
-    hidden = sizes - b.sum(axis=1)
-    return b @ b.T + np.minimum(hidden[:, None], hidden[None, :])
+    own = [places(m) for m in maps]
+    n, count = len(own), np.array([len(x) for x in own])
+    row, column = np.repeat(np.arange(n), count), np.concatenate(own)
+    times = np.bincount(column, minlength=BITS)
+    # a bit that one map alone has is in no overlap, one that all have is in every overlap
+    some = (times > 1) & (times < n)
+    number, total = np.cumsum(some) - 1, int(some.sum())
+    keep = some[column]
+    row, column = row[keep], number[column[keep]]
+    shared = np.full((n, n), (times == n).sum(), np.float32)
+    for at in range(0, total, COLUMNS):
+        inside = (column >= at) & (column < at + COLUMNS)
+        b = np.zeros((n, min(COLUMNS, total - at)), np.float32)
+        b[row[inside], column[inside] - at] = 1
+        shared += b @ b.T
+    hidden = sizes - count
+    return shared + np.minimum(hidden[:, None], hidden[None, :])
+
+
+def forest(ok: np.ndarray, part: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the pairs in the symmetric table ``ok``, enough to span what they join; a part is one node from the start."""
+    _, code = np.unique(part, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    members = np.split(order, np.flatnonzero(np.diff(code[order])) + 1)
+    left, u, v = np.ones(len(code), bool), [], []
+    for seed in range(len(code)):
+        if not left[seed]:
+            continue
+        queue = members[code[seed]].tolist()
+        left[queue] = False
+        while queue:
+            x = queue.pop()
+            for y in np.flatnonzero(ok[x] & left).tolist():
+                if left[y]:
+                    u.append(x), v.append(y)
+                    more = members[code[y]].tolist()
+                    left[more] = False
+                    queue += more
+    return u, v
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,22 +243,24 @@ def signatures(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
     chosen = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id")) if few else wanted.select("doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat an id; they seldom meet elsewhere, where they would do no harm
         for batch in batches:
             for _, _, buf, offsets in T.slices(batch, "text"):
                 _, h, bounds = sets_of(buf, offsets, n)
-                own = [h[a:b] for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [T.as_long(set_ids(h, bounds)), pa.array(np.diff(bounds)), pa.array([bitmap(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())],
-                    ["set_id", "size", "bits", "elements"],
-                )
+                ids = set_ids(h, bounds)
+                new = [i for i, x in enumerate(ids.tolist()) if x and x not in seen and not seen.add(x)]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                own = [h[bounds[i] : bounds[i + 1]] for i in new]
+                columns = [T.as_long(ids[new]), pa.array(np.diff(bounds)[new]), pa.array([bitmap(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["set_id", "size", "bits", "elements"])
 
-    return chosen.mapInArrow(run, "set_id long, size long, bits binary, elements binary").dropDuplicates(["set_id"])
+    return chosen.mapInArrow(run, "set_id long, size long, bits binary, elements binary")
 
 
 def linked(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) that are linked: bounded by bitmaps, then intersected exactly."""
     side = lambda x: signs.select(F.col("set_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
-    array = lambda x: signs.select(F.col("set_id").alias(x), F.col("elements").alias(f"elements_{x}"))
 
     def can(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,17 +280,27 @@ def linked(pairs: DataFrame, signs: DataFrame) -> DataFrame:
                 ok.append(DEN * shared >= NUM * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(ok, pa.bool_())), batch.column("v").filter(pa.array(ok, pa.bool_()))], ["u", "v"])
 
-    bounded = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(can, "u long, v long")
+    bounded = materialize(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(can, "u long, v long"), "bounded")
+    # only the arrays of these sets travel
+    ids = materialize(bounded.select(F.explode(F.array("u", "v")).alias("set_id")).distinct(), "ids")
+    own = signs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "set_id", "left_semi")
+    array = lambda x: own.select(F.col("set_id").alias(x), F.col("elements").alias(f"elements_{x}"))
     return bounded.join(array("u"), "u").join(array("v"), "v").mapInArrow(are, "u long, v long")
 
 
-def apart(tiles: DataFrame, parts: DataFrame, signs: DataFrame, tile_rows_: int = TILE_ROWS) -> DataFrame:
-    """Pairs (u, v) of one tile but not of one component whose bitmaps allow a link."""
+def open_tiles(tiles: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, set_id): the tiles in which some sets lie apart; of tiles of the same sets, one."""
     known = tiles.join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     same = known.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
-    # tiles of the same sets are one
-    open_ = same.filter("low <> high").groupBy("rows", "members").agg(F.min("key").alias("key"))
-    rows = known.join(open_.select("key", "rows"), "key").join(signs.select("set_id", "size", "bits"), "set_id")
+    one = same.filter("low <> high").groupBy("rows", "members").agg(F.min("key").alias("key"))
+    return materialize(tiles.join(one.select("key"), "key").select("key", "set_id"), "open")
+
+
+def apart(tiles: DataFrame, parts: DataFrame, signs: DataFrame, spanning: bool, tile_rows_: int = TILE_ROWS) -> DataFrame:
+    """(key, u, v): pairs of one tile but not of one component whose bitmaps allow a link; if spanning, enough to span them in each block."""
+    known = tiles.join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    same = known.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = known.join(same.filter("low <> high").select("key", "rows"), "key").join(signs.select("set_id", "size", "bits"), "set_id")
     blocks = F.ceil(F.col("rows") / tile_rows_).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     member = F.struct("set_id", "component", "size", "bits", "block")
@@ -257,20 +309,30 @@ def apart(tiles: DataFrame, parts: DataFrame, signs: DataFrame, tile_rows_: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, members in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("members")):
+            for key, i, j, members in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 own = members.values
                 ids, part, size, block = (own.field(k).to_numpy() for k in ("set_id", "component", "size", "block"))
-                if len(ids) < 2:
+                if part.min() == part.max():
                     continue
                 bound = overlap_bounds(own.field("bits").to_pylist(), size)
-                ok = (bound >= needed(size[:, None], size[None, :])) & (part[:, None] != part[None, :]) & (ids[:, None] < ids[None, :])
+                ok = (bound >= needed(size[:, None], size[None, :])) & (part[:, None] != part[None, :])
                 ok &= (NUM * np.maximum(size[:, None], size[None, :])) <= DEN * np.minimum(size[:, None], size[None, :])
                 if i != j:
                     ok &= block[:, None] != block[None, :]
-                u, v = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
+                u, v = forest(ok, part) if spanning else np.nonzero(np.triu(ok))
+                if len(u):
+                    a, b = ids[u], ids[v]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), key)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "u", "v"])
 
-    return meeting.select("i", "j", "members").mapInArrow(run, "u long, v long").distinct()
+    return meeting.select("key", "i", "j", "members").mapInArrow(run, "key long, u long, v long")
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of ``parts`` with the links added: what is left to link are the components found so far."""
+    label = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias(f"part_{x}"))
+    across = links.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("part_u", "u").alias("u"), F.coalesce("part_v", "v").alias("v"))
+    own = parts.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    return materialize(connected_components(own.union(across)), "parts")
 
 
 def set_components(docs: DataFrame, sets: DataFrame, n: int = N) -> DataFrame:
@@ -283,15 +345,17 @@ def set_components(docs: DataFrame, sets: DataFrame, n: int = N) -> DataFrame:
     star = materialize(tiles.filter("set_id <> first").select(F.col("first").alias("u"), F.col("set_id").alias("v")).distinct(), "star")
     edges = materialize(linked(star, signs), "links")
     parts = materialize(connected_components(edges), "parts")
-    rest = apart(tiles, parts, signs).join(star, ["u", "v"], "left_anti")
-    more = materialize(linked(rest, signs), "links")
-    if more.isEmpty():
-        return parts
-    # what is left to link are the components found so far
-    label = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias(f"part_{x}"))
-    across = more.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("part_u", "u").alias("u"), F.coalesce("part_v", "v").alias("v"))
-    own = parts.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    return materialize(connected_components(own.union(across)), "parts")
+    # first as few pairs as can join what lies apart, then all that are still apart
+    tried, groups = star, open_tiles(tiles, parts)
+    for spanning in (True, False):
+        found = materialize(apart(groups, parts, signs, spanning), "apart")
+        pairs = found.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+        links = materialize(linked(pairs, signs), "links")
+        if not links.isEmpty():
+            parts = joined(parts, links)
+        tried = tried.union(found.select("u", "v"))
+        groups = groups.join(found.select("key").distinct(), "key", "left_semi")
+    return parts
 
 
 def join_components(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -121,8 +121,8 @@ def copies(found: DataFrame) -> DataFrame:
 def factors(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(doc_id, starts array<struct<start, src_id, src_start>>): for each document with any, its copied windows."""
     known = docs.filter("doc_id is not null").select("doc_id", "text")
-    shared = repeated_anchors(anchors(known, n))
-    found = copies(windows(known.join(shared, "doc_id"), n))
+    shared = materialize(repeated_anchors(anchors(known, n)), "anchors")
+    found = materialize(copies(windows(known.join(shared, "doc_id"), n)), "copies")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src_id", "src_start")).alias("starts"))
 
 
