@@ -39,7 +39,7 @@ N = 5
 #: Ids up to this number are broadcast (8 bytes each); beyond it texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
 TILE_ROWS = 256
-BITS = 1 << 15
+BITS = 1 << 14
 #: Of a tile's bits, so many are held as a table at a time.
 COLUMNS = 8192
 
@@ -172,8 +172,8 @@ def shared_tiles(rows: DataFrame) -> DataFrame:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit for each element by the top 15 bits of its hash; kept as the places of the set bits while they are few."""
-    at = (h >> U64(49)).astype(np.uint16)
+    """A bit for each element by the top 14 bits of its hash; kept as the places of the set bits while they are few."""
+    at = (h >> U64(50)).astype(np.uint16)
     at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
     if len(at) < BITS // 16:
         return at.tobytes()

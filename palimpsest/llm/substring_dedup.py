@@ -8,7 +8,8 @@ as a whole, so what the greedy cut hides is found.
 
 Only windows that can be repeated are looked up. The least of a window's word-grams (its anchor) is chosen by
 content alone, so equal windows have equal anchors; windows whose anchor occurs once in the corpus occur once.
-Anchors are sent once for each document, about one for ``(W + 1) / 2`` words.
+Anchors are sent once for each document, about one for ``(W + 1) / 2`` words; windows that a document repeats
+itself are found where it lies, and only the first of them travels.
 
 All joins and look-ups are shuffles by hash and sorts that spill; no group is gathered anywhere but a
 document's own places. Two passes read the texts again.
@@ -51,8 +52,8 @@ def _lows(codes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def anchors(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(anchor, doc_id, many): each document's different anchors, and whether one anchors windows at several places."""
-    schema = docs.select(F.lit(0).cast("long").alias("anchor"), "doc_id").schema.add("many", "boolean")
+    """(anchor, doc_id): each document's different anchors."""
+    schema = docs.select(F.lit(0).cast("long").alias("anchor"), "doc_id").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,21 +69,39 @@ def anchors(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 doc, anchor = doc[order], anchor[order]
                 new = np.append(True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]))
                 at = np.flatnonzero(new)
-                many = np.diff(np.append(at, len(doc))) > 1
-                yield pa.RecordBatch.from_arrays([T.as_long(anchor[at]), batch.column(0).take(pa.array(first + doc[at])), pa.array(many)], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([T.as_long(anchor[at]), batch.column(0).take(pa.array(first + doc[at]))], schema.fieldNames())
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """(doc_id, anchors array<long>): each document's anchors that occur elsewhere too."""
+    """(doc_id, anchors array<long>): each document's anchors that other documents have too."""
     order = Window.partitionBy("anchor").orderBy("doc_id")
-    shared = F.col("many") | F.lag("doc_id").over(order).isNotNull() | F.lead("doc_id").over(order).isNotNull()
+    shared = F.lag("doc_id").over(order).isNotNull() | F.lead("doc_id").over(order).isNotNull()
     return found.withColumn("shared", shared).filter("shared").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
 
+def own_repeats(codes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, first start), by document and start: windows that stand earlier in their own document; starts from 0 over all."""
+    h, more = T.ngram_hash(codes, n), T.ngram_hash(codes, n, seed=1)
+    at = np.flatnonzero(T.within(bounds, n)[: len(h)])
+    if not len(at):
+        return at, at, at
+    doc = np.searchsorted(bounds, at, side="right") - 1
+    order = np.lexsort((h[at], doc))  # stable: starts ascend among equals
+    at, doc = at[order], doc[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (h[at[1:]] != h[at[:-1]]) | (more[at[1:]] != more[at[:-1]]))
+    first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    doc, at, first = doc[~new], at[~new], first[~new]
+    order = np.argsort(at, kind="stable")
+    return doc[order], at[order], first[order]
+
+
 def windows(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(h, doc_id, at): the windows with a repeated anchor; at holds the place (high half) and more of the hash."""
+    """(h, doc_id, at): the windows with a repeated anchor, each once a document, where it stands first.
+
+    at holds the place (high half) and more of the hash.
+    """
     schema = docs.select(F.lit(0).cast("long").alias("h"), "doc_id").schema.add("at", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +115,7 @@ def windows(docs: DataFrame, n: int = WORDS) -> DataFrame:
                     a, b = bounds[i], min(bounds[i + 1], len(low))
                     if b > a:
                         ok[a:b] &= np.isin(low[a:b], flat[ends[first + i] : ends[first + i + 1]])
+                ok[own_repeats(codes, bounds, n)[1]] = False
                 start = np.flatnonzero(ok)
                 if len(start):
                     doc = np.searchsorted(bounds, start, side="right") - 1
@@ -154,17 +174,33 @@ def remove_copies(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_
     for i in range(len(carry)):
         schema = schema.add(named.schema[f"carried_{i}"])
 
+    def repeats_of(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each row the windows that stand earlier in the row itself, and where."""
+        for first, end, buf, offsets in T.slices(part, "text"):
+            codes, bounds = _codes(buf, offsets)
+            doc, start, source = own_repeats(codes, bounds, n)
+            start, source = start - bounds[doc], source - bounds[doc]
+            cuts = np.searchsorted(doc, np.arange(end - first + 1))
+            for a, b in zip(cuts, cuts[1:]):
+                yield start[a:b], source[a:b]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out: list[list] = [[], [], [], [], []]
-                for text, starts in zip(part.column(1).to_pylist(), part.column(2)):
+                repeats = repeats_of(part)
+                for doc_id, text, starts, (again, source) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), repeats):
                     words = (text or "").encode("utf-8", "surrogatepass").split()
                     spans, removed = [], 0
-                    if starts.is_valid and len(starts):
-                        own = starts.values
-                        start = own.field("start").to_numpy()
+                    copied = starts.is_valid and len(starts) > 0
+                    if copied or doc_id is not None and len(again):
+                        start, src_start = again, source
+                        src_id = np.full(len(again), doc_id, object if isinstance(doc_id, str) else None)
+                        if copied:
+                            own = starts.values
+                            start, src_start = (np.concatenate([own.field(k).to_numpy(), x]) for k, x in (("start", start), ("src_start", src_start)))
+                            src_id = np.concatenate([own.field("src_id").to_numpy(zero_copy_only=False), src_id])
                         order = np.argsort(start, kind="stable")
                         start = start[order]
                         covered = np.zeros(len(words) + 1, np.int64)
@@ -173,7 +209,7 @@ def remove_copies(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_
                         keep = np.cumsum(covered[:-1]) == 0
                         removed = len(words) - int(keep.sum())
                         if with_factors:
-                            spans = parse(start, own.field("src_id").to_numpy(zero_copy_only=False)[order], own.field("src_start").to_numpy()[order], n)
+                            spans = parse(start, src_id[order], src_start[order], n)
                         words, total = list(compress(words, keep.tolist())), len(words)
                     else:
                         total = len(words)
