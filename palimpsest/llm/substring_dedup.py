@@ -21,6 +21,7 @@ compared by 96 bits of hash over the window. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from itertools import compress
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from . import _text as T
-from ._store import materialize
+from ._store import discard, materialize
 
 WORDS = 20
 GRAM = 6
+TURNS = 2
 
 
 def _codes(buf: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +99,10 @@ def own_repeats(codes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarr
     return doc[order], at[order], first[order]
 
 
-def windows(docs: DataFrame, n: int = WORDS) -> DataFrame:
+def windows(docs: DataFrame, n: int = WORDS, turn: int = 0, turns: int = 1) -> DataFrame:
     """(h, doc_id, at): the windows with a repeated anchor, each once a document, where it stands first.
 
-    at holds the place (high half) and more of the hash.
+    at holds the place (high half) and more of the hash. Of so many turns, each gives the windows of its share of hashes.
     """
     schema = docs.select(F.lit(0).cast("long").alias("h"), "doc_id").schema.add("at", "long")
 
@@ -118,8 +120,10 @@ def windows(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 ok[own_repeats(codes, bounds, n)[1]] = False
                 start = np.flatnonzero(ok)
                 if len(start):
+                    h = T.ngram_hash(codes, n)
+                    start = start[h[start] % np.uint64(turns) == turn]
                     doc = np.searchsorted(bounds, start, side="right") - 1
-                    h, more = T.ngram_hash(codes, n)[start], T.ngram_hash(codes, n, seed=1)[start]
+                    h, more = h[start], T.ngram_hash(codes, n, seed=1)[start]
                     at = ((start - bounds[doc]) << 32) | (more >> np.uint64(32)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([T.as_long(h), batch.column(0).take(pa.array(first + doc)), pa.array(at)], schema.fieldNames())
 
@@ -142,8 +146,12 @@ def factors(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(doc_id, starts array<struct<start, src_id, src_start>>): for each document with any, its copied windows."""
     known = docs.filter("doc_id is not null").select("doc_id", "text")
     shared = materialize(repeated_anchors(anchors(known, n)), "anchors")
-    found = materialize(copies(windows(known.join(shared, "doc_id"), n)), "copies")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src_id", "src_start")).alias("starts"))
+    # by turns, so that the shuffle files of one share of the windows are gone before the next
+    found = [materialize(copies(windows(known.join(shared, "doc_id"), n, turn, TURNS)), "copies") for turn in range(TURNS)]
+    every = functools.reduce(DataFrame.union, found)
+    out = materialize(every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src_id", "src_start")).alias("starts")), "factors")
+    discard(shared, *found)
+    return out
 
 
 def parse(start: np.ndarray, source: np.ndarray, src_start: np.ndarray, n: int = WORDS) -> list[tuple[int, int, int, int]]:
@@ -163,7 +171,7 @@ def remove_copies(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_
     """
     carried = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
     named = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *carried)
-    found = materialize(factors(named, n), "factors")
+    found = factors(named, n)
     joined = named.join(found, "doc_id", "left").select("doc_id", "text", "starts", *[f"carried_{i}" for i in range(len(carry))])
     schema = named.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_factors:
