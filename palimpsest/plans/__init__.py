@@ -11,6 +11,7 @@ from ..functions import scores, text
 from ..operators import analytics, graph, memory, retrieval
 from ..sources import frames, parsers
 from ..streaming import usage
+from . import more
 from .sql import SQL
 
 AS_OF = "2024-02-01 00:00:00"
@@ -55,17 +56,8 @@ def recall_layers(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.recall([(statics, 5), (words, K), (important, K), (newest, K)], K)
 
 
-def links(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers and parts that line items join, as typed links."""
-    kinds = F.array(*[F.lit(k) for k in ("similarity", "caused_by", "updates", "extends", "consolidates", "related")])
-    both = frames.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    kind, weight = F.element_at(kinds, ((F.col("s") + F.col("p")) % 6 + 1).cast("int")), (0.5 + (F.col("p") % 5) / 10.0)
-    ahead = both.select((F.col("s") + 1_000_000_000).alias("source_id"), F.col("p").alias("target_id"), weight.alias("similarity"), kind.alias("type"))
-    return ahead.union(ahead.select("target_id", "source_id", "similarity", "type"))
-
-
 def pagerank_links(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(links(spark, sf), rounds=5).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(more.typed_links(spark, sf), rounds=5).select("id", F.round("rank", 9).alias("rank"))
 
 
 def unlinked_memories(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,14 +123,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "question_types": question_types,
     "part_name_similarity": part_name_similarity,
     "pagerank_links": pagerank_links,
-    "node_roles": lambda spark, sf: graph.roles(links(spark, sf)),
-    "link_weights": lambda spark, sf: link_weights(links(spark, sf)),
+    "node_roles": lambda spark, sf: graph.roles(more.typed_links(spark, sf)),
+    "link_weights": lambda spark, sf: link_weights(more.typed_links(spark, sf)),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | more.SQL
