@@ -23,17 +23,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pagerank(links: DataFrame, rounds: int = 25, damping: float = 0.85) -> DataFrame:
-    """(id, rank): weighted ranks over (source_id, target_id, similarity, type); dangling rank isn't dealt out again."""
+def pagerank(links: DataFrame, rounds: int = 25, damping: float = 0.85, settled: float = 1e-6) -> DataFrame:
+    """(id, rank): weighted ranks over (source_id, target_id, similarity, type); dangling rank isn't dealt out again.
+
+    Ends after ``rounds``, or with the round in which no rank moves by ``settled``; 0 runs all rounds.
+    """
     edges = links.select("source_id", "target_id", (F.col("similarity") * scores.link_weight(F.col("type"))).alias("w"))
     total = edges.groupBy("source_id").agg(F.sum("w").alias("total"))
     edges = cut(edges.join(total, "source_id").select("source_id", "target_id", (F.col("w") / F.col("total")).alias("share")))
     nodes = cut(edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct())
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    new = F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))
     for _ in range(rounds):
         got = edges.join(ranks, edges.source_id == ranks.id).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        ranks = cut(nodes.join(got, "id", "left").select("id", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        step = cut(ranks.join(got, "id", "left").select("id", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        ranks = step.select("id", "rank")
+        if settled and (step.agg(F.max("moved")).first()[0] or 0.0) < settled:
+            break
     return ranks
 
 

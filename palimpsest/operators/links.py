@@ -42,10 +42,11 @@ def hops(links: DataFrame, seeds: list[int], most: int = 2) -> DataFrame:
     return found.groupBy("id").agg(F.min("hop").alias("hop"))
 
 
-def communities(links: DataFrame, rounds: int) -> DataFrame:
+def communities(links: DataFrame, rounds: int = 15) -> DataFrame:
     """(id, label): each round a row takes the label of most weight among its sources, ties to the smaller label.
 
     Weights are whole hundredths, so that sums don't depend on their order. Rows that nothing points to keep theirs.
+    Ends after ``rounds``, or with the round in which no label changes.
     """
     weight = F.round(F.col("similarity") * scores.link_weight(F.col("type")) * 100).cast("long")
     edges = cut(links.select("source_id", "target_id", weight.alias("w")))
@@ -54,7 +55,10 @@ def communities(links: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
         votes = edges.join(labels, edges.source_id == labels.id).groupBy("target_id", "label").agg(F.sum("w").alias("w"))
         won = votes.groupBy(F.col("target_id").alias("id")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("won"))
-        labels = cut(labels.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label")))
+        step = cut(labels.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("changed")))
+        labels = step.select("id", "label")
+        if step.filter("changed").isEmpty():
+            break
     return labels
 
 

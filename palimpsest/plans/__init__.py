@@ -57,7 +57,12 @@ def recall_layers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pagerank_links(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(more.typed_links(spark, sf), rounds=5).select("id", F.round("rank", 9).alias("rank"))
+    """As far as its SQL is unrolled; settled_pagerank runs the operator's own bounds."""
+    return graph.pagerank(more.typed_links(spark, sf), rounds=5, settled=0).select("id", F.round("rank", 9).alias("rank"))
+
+
+def settled_pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.pagerank(more.typed_links(spark, sf)).select("id", F.round("rank", 9).alias("rank"))
 
 
 def unlinked_memories(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "question_types": question_types,
     "part_name_similarity": part_name_similarity,
     "pagerank_links": pagerank_links,
+    "settled_pagerank": settled_pagerank,
     "node_roles": lambda spark, sf: graph.roles(more.typed_links(spark, sf)),
     "link_weights": lambda spark, sf: link_weights(more.typed_links(spark, sf)),
 }

@@ -116,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strongest_links": _links(links.strongest, 3),
     "link_hops": _links(links.hops, SEEDS, 2),
     "link_communities": _links(links.communities, ROUNDS),
+    "settled_communities": _links(links.communities),
 }
 
 _FACTS = """f AS (SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS verb, o_orderstatus AS object, CAST(o_orderdate AS TIMESTAMP) AS valid_at FROM orders),
@@ -161,4 +162,9 @@ SQL: dict[str, str] = {
         SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT id, 0 AS hop FROM ends WHERE id IN ({_SEEDS}) UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY 1""",
     "link_communities": f"""WITH {LINKS}, edges AS (SELECT source_id, target_id, CAST(round(similarity * ({_WEIGHT})::DOUBLE * 100) AS BIGINT) AS w FROM links),
         l0 AS (SELECT id, id AS label FROM (SELECT source_id AS id FROM links UNION SELECT target_id FROM links)), {_VOTES} SELECT id, label FROM l{ROUNDS}""",
+    "settled_communities": f"""WITH RECURSIVE {LINKS}, edges AS MATERIALIZED (SELECT source_id, target_id, CAST(round(similarity * ({_WEIGHT})::DOUBLE * 100) AS BIGINT) AS w FROM links),
+        walk AS (SELECT 0 AS k, id, id AS label FROM (SELECT source_id AS id FROM links UNION SELECT target_id FROM links)
+        UNION ALL SELECT k + 1, l.id, coalesce(won, label) FROM walk l LEFT JOIN (
+            SELECT target_id AS id, label AS won FROM (SELECT target_id, label, sum(w) AS w FROM edges JOIN walk ON source_id = walk.id GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY w DESC, label) = 1) v ON v.id = l.id WHERE k < 15)
+        SELECT id, label FROM walk WHERE k = 15""",
 }

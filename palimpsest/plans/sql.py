@@ -42,6 +42,15 @@ nodes AS (SELECT source_id AS id FROM links UNION SELECT target_id FROM links),
 r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM nodes, size), {", ".join(steps)} SELECT id, round(rank, 9) AS rank FROM r{rounds}"""
 
 
+SETTLED_PAGERANK = f"""WITH RECURSIVE {LINKS}, weighted AS (SELECT source_id, target_id, similarity * ({_WEIGHT})::DOUBLE AS w FROM links),
+edges AS MATERIALIZED (SELECT source_id, target_id, w / sum(w) OVER (PARTITION BY source_id) AS share FROM weighted),
+nodes AS MATERIALIZED (SELECT source_id AS id FROM links UNION SELECT target_id FROM links), size AS (SELECT count(*) AS n FROM nodes),
+walk AS (SELECT 0 AS k, id, 1.0::DOUBLE / n AS rank, 1.0::DOUBLE AS most FROM nodes, size
+    UNION ALL SELECT k + 1, id, new, max(abs(new - rank)) OVER () FROM (
+        SELECT k, w.id, rank, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(got, 0) AS new FROM walk w CROSS JOIN size LEFT JOIN (
+            SELECT target_id AS id, sum(share * rank) AS got FROM edges JOIN walk ON source_id = walk.id GROUP BY 1) g ON g.id = w.id WHERE k < 25 AND most >= 1e-6))
+SELECT id, round(rank, 9) AS rank FROM walk WHERE k = (SELECT max(k) FROM walk)"""
+
 SQL: dict[str, str] = {
     "search_bm25": f"WITH {BM25} SELECT * FROM bm25",
     "vector_topk": f"WITH {NEAR} SELECT * FROM near",
@@ -101,6 +110,7 @@ SQL: dict[str, str] = {
     "part_name_similarity": """WITH g AS (SELECT p_partkey, list_distinct([substring(lower(p_name), i, 2) for i in range(1, length(p_name))]) AS a, list_distinct([substring(lower(p_type), i, 2) for i in range(1, length(p_type))]) AS b FROM part)
         SELECT p_partkey, round(CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM g""",
     "pagerank_links": _pagerank(5),
+    "settled_pagerank": SETTLED_PAGERANK,
     "node_roles": f"""WITH {LINKS}, d AS (SELECT id, CAST(sum(i) AS BIGINT) AS indegree, CAST(sum(o) AS BIGINT) AS outdegree FROM (SELECT source_id AS id, 0 AS i, 1 AS o FROM links UNION ALL SELECT target_id, 1, 0 FROM links) GROUP BY 1)
         SELECT *, CASE WHEN indegree = 0 THEN 'source' WHEN outdegree = 0 THEN 'sink' WHEN indegree > 1 AND outdegree > 1 THEN 'hub' WHEN outdegree > 1 THEN 'fork' WHEN indegree > 1 THEN 'join' ELSE 'pipe' END AS role FROM d""",
     "link_weights": f"WITH {LINKS} SELECT DISTINCT source_id, target_id, type, CAST({_WEIGHT} AS DOUBLE) AS weight FROM links",
