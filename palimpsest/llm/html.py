@@ -30,6 +30,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<![^>]*>|<\?[^>]*>|<(/?)([a-
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"\w+|©")
 
 #: Elements of HTML by how they shape the text.
 RAW = frozenset("script style noscript template textarea select option svg math iframe object canvas audio video".split())
@@ -132,16 +133,15 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _words(tokens: list[str]) -> list[int]:
-    """Hashes of a short block's words, of a longer one's tell-tale words."""
-    chosen = tokens if len(tokens) < 12 else SIGNALS.intersection(map(str.lower, tokens))
-    return [_hash(w) % WORDS for w in chosen] or [0]
+def _words(text: str) -> list[int]:
+    """Hashes of all of a block's words, in lower case and without punctuation."""
+    return [_hash(w) % WORDS for w in _WORD.findall(text.lower())] or [0]
 
 
 def vectors(found: list[Block], params: dict[str, np.ndarray]) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
     """A row for each block, and the path and word hashes that each was made of."""
     n, tokens = max(1, len(found)), [b.text.split() for b in found]
-    paths, words = [b.path for b in found], [_words(t) for t in tokens]
+    paths, words = [b.path for b in found], [_words(b.text) for b in found]
     shape = [
         (np.log1p(len(t)) / 4, b.linked, (b.text.count(".") + b.text.count(",")) / (len(t) + 1), i / n, i == 0, b.text[-1] in ".!?…", len(b.path) / 10, min(n, 100) / 100)
         for i, (b, t) in enumerate(zip(found, tokens))
@@ -230,6 +230,10 @@ def pad(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: Adam gives each word vector steps of one size, how rare or weak its word may be: shorter ones keep chance words small.
+PACE = {"word": 0.3}
+
+
 def train(pages: list[tuple[list[Block], list[bool]]], seed: int = 7, rounds: int = 7, batch: int = 16, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Adam over the pages' labelled blocks."""
     rng = np.random.default_rng(seed)
@@ -263,7 +267,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], seed: int = 7, rounds: in
                 a, b = moments[k]
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
-                p[k] -= rate_now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                p[k] -= rate_now * PACE.get(k, 1) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     return p
 
 
@@ -294,8 +298,16 @@ def made_up(rng: random.Random) -> str:
     def signal(p: float) -> str:
         return rng.choice(sorted(SIGNALS)) + " " if rng.random() < p else ""
 
+    def told() -> str:
+        """A longer text that only its words tell from prose."""
+        words = [signal(0.3) + word() for _ in range(rng.randint(12, 40))]
+        return (signal(1) + " ".join(words) + ". " + signal(1) + word() + ".").capitalize()
+
     def noise(kind: str) -> str:
         tag = rng.choice(_NOISE[kind])
+        if kind in ("ad", "notice", "side", "footer") and rng.random() < 0.25:
+            tag = rng.choice(["div", "p", "section", "section><p", "div><p"])
+            return f"<{tag}>{told()}{_close(tag)}"
         if kind == "menu" or kind == "side" and rng.random() < 0.4:
             item = rng.choice(["li", "div", "p"])
             inner = "".join(f'<{item}><a href="/x">{word()}</a></{item}>' for _ in range(rng.randint(2, 7)))
