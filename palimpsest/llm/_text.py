@@ -177,3 +177,47 @@ def runs(positions: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], run_rows: int, run_bytes: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Bounded runs of rows sorted by their first column: (rows of whole keys, False), or (a part of one key's rows, True)."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    cut_key = None  # the key of which a part was given
+
+    def cut(last: bool) -> Iterator[tuple[pa.Table, bool]]:
+        nonlocal held, rows, size, cut_key
+        table = pa.Table.from_batches(held)
+        key = table.column(0).to_numpy()
+        if cut_key is not None:
+            stop = int(np.searchsorted(key != cut_key, True)) if (key != cut_key).any() else len(key)
+            if stop:
+                yield table.slice(0, stop), True
+            table, key = table.slice(stop), key[stop:]
+            if len(key):
+                cut_key = None
+        if len(key) and last:
+            yield table, False
+            table = table.slice(0, 0)
+        elif len(key):
+            begin = len(key) - int(np.argmax(np.append(key[::-1] != key[-1], True)))
+            if begin:
+                yield table.slice(0, begin), False
+                table = table.slice(begin)
+            if table.num_rows >= run_rows or table.nbytes >= run_bytes:
+                cut_key = key[-1]
+                yield table, True
+                table = table.slice(0, 0)
+        held = table.to_batches() if table.num_rows else []
+        rows, size = table.num_rows, table.nbytes if table.num_rows else 0
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            piece = batch.slice(at, 1024)
+            held.append(piece)
+            rows += piece.num_rows
+            size += piece.nbytes
+            if rows >= run_rows or size >= run_bytes:
+                yield from cut(False)
+    if held:
+        yield from cut(True)

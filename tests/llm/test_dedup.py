@@ -137,6 +137,15 @@ def test_substring_factors(spark):
     assert n > 10
 
 
+@pytest.mark.parametrize("block_rows", [2, 7, 50])
+def test_substring_small_blocks(spark, block_rows):
+    """Anchors whose segments lie in several blocks and parts; a document's rows twice."""
+    rows = edge_rows()
+    want = brute.substring(rows)
+    docs = frame(spark, rows + rows[40:50])
+    assert found(substring_dedup.remove_copies(docs, with_factors=False, with_text=False, block_rows=block_rows), "n_words", "n_removed", "kept_sha256") == want
+
+
 def test_substring_cuts_text(spark):
     docs = frame(spark, edge_rows()).withColumn("n_chars", F.length("text").cast("long"))
     cut = substring_dedup.cut_copies(docs, length_col="n_chars")
@@ -145,7 +154,7 @@ def test_substring_cuts_text(spark):
         assert r.n_chars == len(r.text)
 
 
-@pytest.mark.parametrize("run_rows", [suffix_dedup.RUN_ROWS, 2])
+@pytest.mark.parametrize("run_rows", [suffix_dedup.RUN_ROWS, 2, 9])
 def test_suffix(spark, documents, run_rows):
     rows = documents[1] if run_rows > 2 else edge_rows()
     docs = documents[0] if run_rows > 2 else frame(spark, rows)
@@ -153,6 +162,12 @@ def test_suffix(spark, documents, run_rows):
     assert found(out, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix(rows)
 
 
+def test_suffix_repeated_rows_in_small_runs(spark):
+    rows = edge_rows()
+    docs = frame(spark, rows + rows[40:50])
+    assert found(suffix_dedup.remove_repeats(docs, with_content=False, run_rows=3), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix(rows)
+
+
 def test_suffix_small_length_of_edges(spark):
     rows = edge_rows()
     assert found(suffix_dedup.digest(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix(rows)
