@@ -14,9 +14,13 @@ The suffixes of all documents' bytes are ordered only as far as repeats of ``len
 4. Compare adjacent prefixes. Neighbours in that order that agree on ``length`` bytes are repeats. Their
    spans are joined per document.
 
+Names are hashes of 128 bits in place of ranks: equal prefixes have equal names without a global numbering.
+Neighbours are compared by the names of what they share and by the bytes of the rest.
+
 Sorts are Spark's and spill. A name's suffixes are read in sorted order and merged in runs of at most
-``RUN_ROWS``; where a name has more, the runs' own windows are sent on by hash and compared across runs, so no
-group, however large, is gathered. Names and windows are compared by 64-bit hashes.
+``RUN_ROWS``; a name of very many documents is dealt over tasks by its count (map-side sums). Where a name has
+several runs, each of a run's different windows is sent on by 128 bits of hash and compared across runs, so no
+group, however large, is gathered.
 
 Defined results. A null text is empty. A document without an id is kept whole and meets no other. Rows that
 repeat an id count as that one document. An empty table gives an empty result; other columns take no part.
@@ -29,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import materialize
+from ._store import discard, materialize
 
 LENGTH = 400
 NAMED = 3**5
@@ -47,9 +51,9 @@ def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray, level: int) -> np.ndarr
     return T.mix(a * np.uint64(0x9E3779B97F4A7C15) + T.mix(b + np.uint64(level)) + c * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def names(buf: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    """Names of the ``NAMED`` bytes from each sampled place on: triples of bytes first, then triples of names."""
-    codes = T._CODES[0][buf]
+def names(buf: np.ndarray, sample: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Names (64 bits of them for each seed) of the ``NAMED`` bytes from each sampled place on: triples of bytes first, then triples of names."""
+    codes = T._CODES[seed][buf]
     named = _triple(codes[:-2], codes[1:-1], codes[2:], 1)[sample[:, None] + np.arange(0, NAMED, 3)]
     level = 2
     while named.shape[1] > 1:
@@ -110,39 +114,48 @@ def sample_names(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def shared_names(found: DataFrame) -> DataFrame:
-    """(doc_id, names array<long>): names that a neighbour in sorted order shares."""
-    order = Window.partitionBy("name").orderBy("doc_id")
-    shared = F.col("many") | F.lag("doc_id").over(order).isNotNull() | F.lead("doc_id").over(order).isNotNull()
-    return found.withColumn("shared", shared).filter("shared").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+def shared_names(found: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(doc_id, names array<struct<name, parts>>): names that a neighbour in sorted order shares, and over how many parts each is dealt."""
+    counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).filter("n > 1 or many")
+    counts = materialize(counts.select("name", F.ceil(2 * F.col("n") / run_rows).cast("int").alias("parts")), "counts")
+    out = materialize(found.join(counts, "name").groupBy("doc_id").agg(F.collect_set(F.struct("name", "parts")).alias("names")), "names")
+    discard(counts)
+    return out
 
 
 def contexts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(name, doc_id, start, ahead, count, near): for each sampled suffix with a shared name, the count suffixes before it.
+    """(name, more, part, parts, doc_id, start, ahead, count, near): for each sampled suffix with a shared name, the count suffixes before it.
 
     start: where the first of them begins, ahead: how far from the sample; near: the bytes before the sample and after its named part that
     they reach, one run of count + length - NAMED - 1 bytes in which each suffix is known by length - NAMED.
     """
-    schema = docs.select(F.lit(0).cast("long").alias("name"), "doc_id").schema.add("start", "long").add("ahead", "integer").add("count", "integer").add("near", "binary")
+    zero = F.lit(0).cast("long")
+    schema = docs.select(zero.alias("name"), zero.alias("more"), F.lit(0).alias("part"), F.lit(0).alias("parts"), "doc_id").schema.add("start", "long").add("ahead", "integer").add("count", "integer").add("near", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            ends, values = lists.offsets.to_numpy(), lists.values
+            flat, parts = values.field("name").to_numpy().view(np.uint64), values.field("parts").to_numpy()
             for first, _, buf, offsets in T.slices(batch, "text"):
                 sample, near, far, doc = _samples(buf, offsets, length)
                 if not len(sample):
                     continue
                 name = names(buf, sample)
-                keep = np.zeros(len(sample), bool)
+                many = np.zeros(len(sample), np.int32)
                 bounds = np.searchsorted(doc, np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
                     a, b = bounds[i], bounds[i + 1]
                     if b > a:
-                        keep[a:b] = np.isin(name[a:b], flat[ends[first + i] : ends[first + i + 1]])
-                sample, near, far, doc, name = (x[keep] for x in (sample, near, far, doc, name))
+                        own, some = flat[ends[first + i] : ends[first + i + 1]], parts[ends[first + i] : ends[first + i + 1]]
+                        order = np.argsort(own)
+                        at = order[np.minimum(np.searchsorted(own[order], name[a:b]), len(own) - 1)]
+                        many[a:b] = np.where(own[at] == name[a:b], some[at], 0)
+                sample, near, far, doc, name, many = (x[many > 0] for x in (sample, near, far, doc, name, many))
                 if not len(sample):
                     continue
+                # a name of many parts is dealt by what stands before it
+                part = np.where(many > 1, T.mix(T._CODES[1][buf[far]] * T.U64(3) + sample.astype(np.uint64)) % many.astype(np.uint64), 0).astype(np.int32)
                 # bytes far .. sample and sample + NAMED .. near + length, gathered at once
                 left, right = sample - far, near + length - sample - NAMED
                 size = left + right
@@ -150,118 +163,95 @@ def contexts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 k = np.arange(ends_[-1]) - np.repeat(ends_ - size, size)
                 place = np.repeat(far, size) + k + np.where(k >= np.repeat(left, size), NAMED, 0)
                 data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends_).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf[place]))])
-                columns = [T.as_long(name), batch.column(0).take(pa.array(first + doc)), pa.array(far - offsets[doc]), pa.array((sample - far).astype(np.int32)), pa.array((near - far + 1).astype(np.int32)), data]
+                columns = [T.as_long(name), T.as_long(names(buf, sample, 1)), pa.array(part), pa.array(many), batch.column(0).take(pa.array(first + doc)), pa.array(far - offsets[doc]), pa.array((sample - far).astype(np.int32)), pa.array((near - far + 1).astype(np.int32)), data]
                 yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     return docs.select("doc_id", "text", "names").mapInArrow(run, schema)
 
 
-def _merge(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, key) of every suffix of the rows; equal keys: the same ``length`` bytes."""
-    near = table.column("near").combine_chunks()
-    offsets = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1].astype(np.int64)
-    buf = np.frombuffer(near.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    count = table.column("count").to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(count)), count)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    at = (offsets[:-1] - offsets[0])[row] + step
-    beyond = length - NAMED
-    name = table.column("name").to_numpy().view(np.uint64)
-    distance = table.column("ahead").to_numpy().astype(np.int64)[row] - step
-    key = T.span_hash(T.rolling(buf), at, at + beyond) ^ T.mix(name[row] + distance.astype(np.uint64))
-    return row, table.column("start").to_numpy()[row] + step, T.mix(key)
+def _alike(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Whether the ``size`` bytes (8 or more) from a and from b on are equal."""
+    eight = np.ndarray(max(0, len(buf) - 7), "<u8", buffer=buf, strides=(1,))
+    same = np.ones(len(a), bool)
+    for k in [*range(0, size - 7, 8), size - 8]:
+        same &= eight[a + k] == eight[b + k]
+    return same
+
+
+class Merged:
+    """Every suffix of some sampled suffixes' contexts, in an order in which equal prefixes are neighbours."""
+
+    def __init__(self, table: pa.Table, length: int):
+        near = table.column("near").combine_chunks()
+        offsets = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1].astype(np.int64)
+        buf = np.ascontiguousarray(np.frombuffer(near.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+        name, more = (table.column(c).to_numpy().view(np.uint64) for c in ("name", "more"))
+        count, beyond = table.column("count").to_numpy().astype(np.int64), length - NAMED
+        row = np.repeat(np.arange(len(count)), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at, start = (offsets[:-1] - offsets[0])[row] + step, table.column("start").to_numpy()[row] + step
+        distance = (table.column("ahead").to_numpy().astype(np.int64)[row] - step).astype(np.uint64)
+        sums = T.rolling(buf)
+        key = T.mix(T.span_hash(sums, at, at + beyond) ^ T.mix(name[row] + distance))
+        order = np.argsort(key, kind="stable")
+        self.row, self.start, self.key = row[order], start[order], key[order]
+        at, distance = at[order], distance[order]
+        #: Whether a suffix has the same ``length`` bytes as the one before it: the same name at the same distance, and equal bytes beside it.
+        same = self.key[1:] == self.key[:-1]
+        k = np.flatnonzero(same)
+        a, b = self.row[k], self.row[k + 1]
+        same[k] = (name[a] == name[b]) & (more[a] == more[b]) & (distance[k] == distance[k + 1]) & _alike(buf, at[k], at[k + 1], beyond)
+        self.same = same
+        self._sums = lambda at_: T.span_hash(T.rolling(buf, 1), at_, at_ + beyond)
+        self._at, self._more, self._distance = at, more, distance
+
+    def second_key(self, some: np.ndarray) -> np.ndarray:
+        """64 more bits of hash of some suffixes' prefixes."""
+        return T.mix(self._sums(self._at[some]) ^ T.mix(self._more[self.row[some]] + self._distance[some]))
 
 
 def repeats(found: DataFrame, length: int = LENGTH, run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, start, end): spans of bytes covered by repeats."""
-    schema = found.select("doc_id").schema.add("start", "long").add("end", "long").add("key", "long").add("open", "boolean")
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
-        """Runs of whole names, or (True) runs of a part of one."""
-        held: list[pa.RecordBatch] = []
-        size = 0
-        part_of = None  # the name that an earlier run was a part of
-
-        def cut(last: bool) -> Iterator[tuple[pa.Table, bool]]:
-            nonlocal held, size, part_of
-            table = pa.Table.from_batches(held)
-            name = table.column("name").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]])
-            if part_of is not None and len(name):
-                stop = int(edges[1]) if name[0] == part_of else 0
-                if stop and (len(edges) > 2 or last or stop >= run_rows):
-                    yield table.slice(0, stop), True
-                    table, edges = table.slice(stop), edges[1:] - stop
-                    if len(edges) > 1:
-                        part_of = None
-                elif not stop:
-                    part_of = None
-            if not last and table.num_rows:
-                stop = int(edges[-2])
-                rest = table.slice(stop)
-                if rest.num_rows >= run_rows:
-                    part_of = rest.column("name")[0].as_py()
-                    if stop:
-                        yield table.slice(0, stop), False
-                    yield rest, True
-                    held, size = [], 0
-                    return
-                if part_of is None and stop:
-                    yield table.slice(0, stop), False
-                    table = rest
-            elif table.num_rows:
-                yield table, False
-                table = table.slice(0, 0)
-            held = table.to_batches()
-            size = table.nbytes if table.num_rows else 0
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                held.append(piece)
-                size += piece.nbytes
-                if size >= MERGE_BYTES:
-                    yield from cut(False)
-        if held:
-            yield from cut(True)
+    schema = found.select("doc_id").schema.add("start", "long").add("end", "long").add("key", "long").add("more", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, is_open in pieces(batches):
-            row, start, key = _merge(table, length)
-            # sorted by key, neighbours that agree are repeats; a place met twice is one
-            order = np.argsort(key, kind="stable")
-            key, row, start = key[order], row[order], start[order]
+        for table, split in T.key_runs(batches, run_rows, MERGE_BYTES):
+            merged = Merged(table, length)
+            row, start, same = merged.row, merged.start, merged.same
             doc = table.column("doc_id").combine_chunks()
             code = doc.dictionary_encode().indices.to_numpy().astype(np.int64)
-            same = key[1:] == key[:-1]
+            # a place met twice (rows that repeat an id) is one
             other = same & ((code[row[1:]] != code[row[:-1]]) | (start[1:] != start[:-1]))
             group = np.cumsum(np.append(True, ~same)) - 1
-            many = np.bincount(group[1:][other], minlength=group[-1] + 1) > 0 if len(group) else np.zeros(0, bool)
-            hit = many[group]
+            hit = (np.bincount(group[1:][other], minlength=group[-1] + 1) > 0)[group]
             # the suffixes of a row that repeat overlap: one span
             low, high = np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), -1)
             np.minimum.at(low, row[hit], start[hit])
             np.maximum.at(high, row[hit], start[hit] + length)
             rows = np.flatnonzero(high >= 0)
-            yield pa.RecordBatch.from_arrays([doc.take(pa.array(rows)), pa.array(low[rows]), pa.array(high[rows]), pa.nulls(len(rows), pa.int64()), pa.array(np.zeros(len(rows), bool))], schema.fieldNames())
-            if is_open:  # the rest of the name is elsewhere: each different suffix goes on by its key
-                first = np.flatnonzero(np.append(True, ~same))
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(row[first])), pa.array(start[first]), pa.array(start[first] + length), T.as_long(key[first]), pa.array(np.ones(len(first), bool))], schema.fieldNames())
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(rows)), pa.array(low[rows]), pa.array(high[rows]), none, none], schema.fieldNames())
+            # the rest of the name is elsewhere: each different suffix goes on by its key
+            open_ = (table.column("parts").to_numpy()[row] > 1) | split
+            first = np.flatnonzero(np.append(True, ~same) & open_)
+            if len(first):
+                columns = [doc.take(pa.array(row[first])), pa.array(start[first]), pa.array(start[first] + length), T.as_long(merged.key[first]), T.as_long(merged.second_key(first))]
+                yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    merged = materialize(found.repartition("name").sortWithinPartitions("name").mapInArrow(run, schema), "repeats")
-    across = merged.filter("open")
-    order = Window.partitionBy("key").orderBy("doc_id", "start")
-    before = F.lag(F.struct("doc_id", "start")).over(order)
-    after = F.lead(F.struct("doc_id", "start")).over(order)
-    own = F.struct("doc_id", "start")
-    across = across.withColumn("hit", (before != own) | (after != own)).filter("hit")
-    return merged.filter("not open").select("doc_id", "start", "end").unionByName(across.select("doc_id", "start", "end"))
+    merged = materialize(found.repartition("name", "part").sortWithinPartitions("name").mapInArrow(run, schema), "repeats")
+    across = merged.filter("key is not null")
+    place = F.struct("doc_id", "start")
+    ends = across.groupBy("key", "more").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
+    across = across.join(materialize(ends.select("key", "more"), "across"), ["key", "more"])
+    return merged.filter("key is null").select("doc_id", "start", "end").unionByName(across.select("doc_id", "start", "end"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, spans array<struct<start, end>>): what repeats cover of each document, ascending, not yet joined."""
     known = docs.filter("doc_id is not null").select("doc_id", "text")
-    shared = shared_names(sample_names(known, length))
+    sampled = materialize(sample_names(known, length), "sampled")
+    shared = shared_names(sampled, run_rows)
+    discard(sampled)
     found = repeats(contexts(known.join(shared, "doc_id"), length), length, run_rows)
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
