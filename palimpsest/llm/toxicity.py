@@ -25,10 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .language import held_out
+from .language import held_out, sample_ids
 
 SAMPLE_PER_LABEL = 2000
 LEXICON = 400
@@ -214,8 +214,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> n
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_PER_LABEL) -> Model:
     """The model from labelled documents, all of which may be learned from."""
     marks = labels.groupBy(labels[id_col].alias("id")).agg(F.max(labels[label_col]).alias("y")).filter("y in (0, 1)")
-    first = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = marks.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("id", "y")
+    chosen = sample_ids(marks.filter("id is not null"), "y", sample)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("text is not null")
     # at most 2 * sample rows are broadcast
     rows = texts.join(F.broadcast(chosen), "id").select("y", "text").distinct()
@@ -236,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows.unpersist()
         return Model(Lexicon([], []), None)
     units = rows.mapInArrow(count, "unit string, stem boolean, y int, n long").groupBy("unit", "stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
-    least = max(3, math.ceil(0.015 * positive))
+    least = max(3, min(12, math.ceil(0.015 * positive)))
     frequent = units.filter((F.col("p") >= least) & (F.col("q") * positive <= 0.1 * F.col("p") * negative))
     top = frequent.orderBy(F.desc("p"), "unit", "stem").limit(20 * LEXICON).collect()
     lexicon = choose([(r.unit, r.stem, r.p, r.q) for r in top], positive, negative)

@@ -21,7 +21,7 @@ def test_language_distances_are_out_of_place_sums(spark):
     profiles = {"a": [5, 6, 7], "b": [6, 9]}
     text = "ab ab c"
     grams, bounds = language._gram_ids([text])
-    ids, _ = language._ranked(grams[bounds[0] : bounds[1]])
+    ids = language._ranked(grams[bounds[0] : bounds[1]].ravel(), None)
     dist = {x: sum(min(language.PROFILE, abs(p.index(g) - r)) if g in p else language.PROFILE for r, g in enumerate(ids)) for x, p in profiles.items()}
     row = language.predict_language(spark.createDataFrame([(1, text)], "doc_id long, text string"), profiles).first()
     assert row.lang_pred == min(sorted(dist), key=dist.get)
