@@ -7,8 +7,9 @@ read). Candidates whose upper bound is below the k-th lower bound drop out; read
 the lists are at their end, and the final scores of those left are resolved. Blocks answer alone; a query's
 best of all blocks are then merged.
 
-Every block of queries meets every block of candidates: that is the stated query set against all rows. No
-table is broadcast, and a task holds one block of each.
+Every block of queries meets every block of candidates: that is the stated query set against all rows. Each
+candidate travels once, to its block, whose lists are sorted once; the queries are copied to each block, in
+bounded blocks of their own, and read one block at a time. No table is broadcast.
 
 Defined results. Vectors null, empty, or with null or non-finite components take no part; vectors of other
 lengths than the query's aren't its candidates. A row with the query's id is the query's own. Repeated ids
@@ -25,7 +26,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATES_PER_BLOCK = 4096
-QUERIES_PER_BLOCK = 256
 #: Parts of each list that are read before bounds are compared again.
 DEPTHS = (0.06, 0.15, 0.3, 0.45, 0.6, 0.8, 1.0)
 
@@ -83,33 +83,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     """(query_id, rank, vec_id, score): the k candidates of highest integer inner product for each query."""
     rows, asked = integers(vectors, id_col, vec_col, scale), integers(queries, id_col, vec_col, scale)
     blocks = max(1, -(-rows.count() // CANDIDATES_PER_BLOCK))
-    query_blocks = max(1, -(-asked.count() // QUERIES_PER_BLOCK))
-    key = F.xxhash64("vec_id")
-
-    def spread(frame: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return frame.select("vec_id", "v", "dim", F.pmod(key, F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
-
-    at = ["dim", "block", "query_block"]
-    candidates = spread(rows, "block", blocks, "query_block", query_blocks).groupBy(*at)
-    questions = spread(asked, "query_block", query_blocks, "block", blocks).groupBy(*at)
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("vec_id").to_numpy()
-        flat = table.column("v").combine_chunks().flatten() if table.num_rows else pa.array([], pa.int64())
-        return ids, flat.to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if left.num_rows and right.num_rows:
-            (ids, vectors), (asked_ids, weights) = matrix(left), matrix(right)
-            lists = Lists(vectors)
-            for query_id, weight in zip(asked_ids, weights):
-                found, score = lists.best(weight, k, ids == query_id)
-                best = np.lexsort((ids[found], -score))[:k]
-                out.append((np.full(len(best), query_id), ids[found][best], score[best].astype(np.int64)))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(["query_id", "vec_id", "score"], columns)))
-
-    found = candidates.cogroup(questions).applyInArrow(search, "query_id long, vec_id long, score long")
+    # a block's candidates come first, then its queries; equal ids are spread by their vectors
+    own = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
+    candidates = rows.select(own.alias("block"), "dim", F.lit(0).alias("asks"), "vec_id", "v")
+    questions = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dim", F.lit(1).alias("asks"), "vec_id", "v")
+    dealt = candidates.unionByName(questions).repartition(F.col("block"), F.col("dim")).sortWithinPartitions("block", "dim", "asks")
+    schema = "query_id long, vec_id long, score long"
+
+    def matrix(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.concatenate([b.column(3).to_numpy() for b in parts])
+        flat = np.concatenate([b.column(4).flatten().to_numpy(zero_copy_only=False) for b in parts])
+        return ids, flat.reshape(len(ids), -1).astype(np.float64)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: tuple[int, int] | None = None
+        held: list[pa.RecordBatch] = []
+        lists, ids = None, np.zeros(0, np.int64)
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+            for a, b in zip(cuts, cuts[1:]):
+                at, asks, part = (int(keys[a, 0]), int(keys[a, 1])), keys[a, 2], batch.slice(a, b - a)
+                if at != block:
+                    block, held, lists = at, [], None
+                if not asks:
+                    held.append(part)
+                    continue
+                if held:  # the first queries of a block: its candidates are all there
+                    ids, vectors_ = matrix(held)
+                    lists, held = Lists(vectors_), []
+                if lists is None:
+                    continue
+                out: list[tuple[np.ndarray, ...]] = []
+                for query_id, weight in zip(*matrix([part])):
+                    found, score = lists.best(weight, k, ids == query_id)
+                    best = np.lexsort((ids[found], -score))[:k]
+                    out.append((np.full(len(best), query_id), ids[found][best], score[best].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(search, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
