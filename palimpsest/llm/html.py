@@ -138,13 +138,13 @@ def _words(text: str) -> list[int]:
     return [_hash(w) % WORDS for w in _WORD.findall(text.lower())] or [0]
 
 
-def vectors(found: list[Block], params: dict[str, np.ndarray]) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
-    """A row for each block, and the path and word hashes that each was made of."""
-    n, tokens = max(1, len(found)), [b.text.split() for b in found]
+def vectors(found: list[Block], params: dict[str, np.ndarray], first: int = 0, total: int | None = None) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+    """A row for each block, and the path and word hashes that each was made of; they stand from ``first`` on in a page of ``total``."""
+    n, tokens = max(1, total or len(found)), [b.text.split() for b in found]
     paths, words = [b.path for b in found], [_words(b.text) for b in found]
     shape = [
         (np.log1p(len(t)) / 4, b.linked, (b.text.count(".") + b.text.count(",")) / (len(t) + 1), i / n, i == 0, b.text[-1] in ".!?…", len(b.path) / 10, min(n, 100) / 100)
-        for i, (b, t) in enumerate(zip(found, tokens))
+        for i, (b, t) in enumerate(zip(found, tokens), first)
     ]
     return np.concatenate([_summed(params["path"], paths), _summed(params["word"], words) / np.array([[len(w)] for w in words]), np.array(shape, float)], axis=1), paths, words
 
@@ -364,16 +364,30 @@ def trained(pages: int = 800, seed: int = 7) -> dict[str, np.ndarray]:
     return train([labelled(made_up(rng)) for _ in range(pages)], seed)
 
 
-def label(pages: list[list[Block]], params: dict[str, np.ndarray], group: int = 64) -> list[np.ndarray]:
-    """For each page, which of its blocks are main text."""
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-    order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-    for at in range(0, len(order), group):
-        own = order[at : at + group]
-        x, mask = pad([vectors(pages[i], params)[0] for i in own])
+def label(pages: list[list[Block]], params: dict[str, np.ndarray], cells: int = 8192, overlap: int = 512) -> list[np.ndarray]:
+    """For each page, which of its blocks are main text.
+
+    Pages of like length are padded together up to so many cells. A page of more blocks than that is read in windows, each with
+    ``overlap`` blocks of context on both sides, so that memory stays bounded whatever a page holds.
+    """
+    windows: list[tuple[int, int, int, int, int]] = []  # page, from, to, and what of it counts
+    for i, page in enumerate(pages):
+        step = len(page) if len(page) <= cells else cells - 2 * overlap
+        for at in range(0, len(page), step or 1):
+            windows.append((i, max(0, at - overlap) if at else 0, min(len(page), at + step + overlap), at, min(len(page), at + step)))
+    out = [np.zeros(len(p), bool) for p in pages]
+    windows.sort(key=lambda w: w[2] - w[1])
+    at = 0
+    while at < len(windows):
+        end = at + 1
+        while end < len(windows) and end - at < 64 and (end - at + 1) * (windows[end][2] - windows[end][1]) <= cells:
+            end += 1
+        own = windows[at:end]
+        x, mask = pad([vectors(pages[i][a:b], params, a, len(pages[i]))[0] for i, a, b, _, _ in own])
         chance = forward(x, mask, params)[0]
-        for i, c in zip(own, chance):
-            out[i] = c[: len(pages[i])] >= 0.5
+        for (i, a, _, first, last), c in zip(own, chance):
+            out[i][first:last] = c[first - a : last - a] >= 0.5
+        at = end
     return out
 
 
