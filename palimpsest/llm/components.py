@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -17,11 +17,11 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): for each end of an edge (u, v) the least id that it is linked with, its own included."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, component): for each end of an edge (u, v) the least id that it is linked with, its own included. Runs until nothing changes."""
     at = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = _both(at)
         # large star: greater neighbours are hung on the least
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: lesser neighbours, and the node itself, are hung on the least
         least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        at = materialize(small.filter("u <> v").distinct(), "small")
+        before, at = at, materialize(small.filter("u <> v").distinct(), "small")
+        discard(before, large)
         now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

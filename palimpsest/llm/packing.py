@@ -113,10 +113,10 @@ class OpenBins:
 
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_packer: int = PIECES_PER_PACKER) -> DataFrame:
-    """``pieces`` (with doc_id, piece and length) with sequence_id and offset added.
+    """``pieces`` (with doc_id, piece, start, length and ids_crc32) with sequence_id and offset added.
 
-    Deterministic for given pieces: their order in a packer comes from their ids alone, so a packer that is
-    run again gives the same places.
+    A packer gets its pieces longest first, ties by their ids and digests: so it opens fewer bins than in the order of arrival, and one
+    that is run again gives the same places.
     """
     pieces = materialize(pieces, "pieces")
     packers = max(1, -(-pieces.count() // per_packer))
@@ -131,7 +131,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     key = F.xxhash64("doc_id", "piece", "start")
-    dealt = pieces.repartition(packers, key).sortWithinPartitions(F.col("length").desc(), key, "doc_id", "piece")
+    dealt = pieces.repartition(packers, key).sortWithinPartitions(F.col("length").desc(), key, "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(run, schema)
 
 
