@@ -95,8 +95,8 @@ def _samples(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def sample_names(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(name, doc_id, many): each document's different names of sampled suffixes."""
-    schema = docs.select(F.lit(0).cast("long").alias("name"), "doc_id").schema.add("many", "boolean")
+    """(name, doc_id, times): each document's different names of sampled suffixes, and how often each stands there."""
+    schema = docs.select(F.lit(0).cast("long").alias("name"), "doc_id").schema.add("times", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,15 +108,15 @@ def sample_names(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 order = np.lexsort((name, doc))
                 doc, name = doc[order], name[order]
                 at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])))
-                many = np.diff(np.append(at, len(doc))) > 1
-                yield pa.RecordBatch.from_arrays([T.as_long(name[at]), batch.column(0).take(pa.array(first + doc[at])), pa.array(many)], schema.fieldNames())
+                times = np.diff(np.append(at, len(doc)))
+                yield pa.RecordBatch.from_arrays([T.as_long(name[at]), batch.column(0).take(pa.array(first + doc[at])), pa.array(times)], schema.fieldNames())
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def shared_names(found: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, names array<struct<name, parts>>): names that a neighbour in sorted order shares, and over how many parts each is dealt."""
-    counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).filter("n > 1 or many")
+    counts = found.groupBy("name").agg(F.sum("times").alias("n")).filter("n > 1")
     counts = materialize(counts.select("name", F.ceil(2 * F.col("n") / run_rows).cast("int").alias("parts")), "counts")
     out = materialize(found.join(counts, "name").groupBy("doc_id").agg(F.collect_set(F.struct("name", "parts")).alias("names")), "names")
     discard(counts)
