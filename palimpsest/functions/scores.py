@@ -23,7 +23,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def days_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(86_400_000_000.0)
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(86_400_000_000.0)
 
 
 def retrievability(days: Column, stability: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Column functions on text: normal form, query tokens, tags, similarity of names, SimHash."""
+"""Column functions on text: normal form, query tokens, tags, similarity of names."""
 
 from __future__ import annotations
 
@@ -50,6 +50,10 @@ def question_type(text: Column) -> Column:
     return out
 
 
-def contradicts(text: Column) -> Column:
-    """Phrases that hint at a changed fact."""
-    return F.lower(text).rlike("no longer|changed to|used to|instead now|but now|previously")
+#: Phrases that hint at a changed fact; the last two count in ranking only.
+CHANGED = ("no longer", "changed to", "used to", "instead now", "but now", "previously", "was replaced", "switched from")
+
+
+def contradicts(text: Column, phrases: int = 6) -> Column:
+    """Whether a text holds one of the first ``phrases`` phrases."""
+    return F.lower(text).rlike("|".join(CHANGED[:phrases]))

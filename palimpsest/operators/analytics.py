@@ -9,7 +9,7 @@ from ..functions import scores
 
 
 def usage_daily(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return events.groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total"))
 
 
 def usage_totals(events: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def access_pattern(events: DataFrame) -> DataFrame:
 
 
 def metric_summary(events: DataFrame) -> DataFrame:
-    v = F.col("value")
-    return events.groupBy("user_id", "event_type").agg(F.round(F.coalesce(F.avg(v), F.lit(0.0)), 4).alias("mean"), F.coalesce(F.min(v), F.lit(0.0)).alias("least"), F.coalesce(F.max(v), F.lit(0.0)).alias("most"), F.count(F.lit(1)).alias("n"))
+    v, exact = F.col("value"), F.col("value").cast("decimal(18,6)")  # decimals sum to the same in any order
+    return events.groupBy("user_id", "event_type").agg(F.coalesce(F.round(F.sum(exact).cast("double") / F.count(v), 3), F.lit(0.0)).alias("mean"), F.coalesce(F.min(v), F.lit(0.0)).alias("least"), F.coalesce(F.max(v), F.lit(0.0)).alias("most"), F.count(F.lit(1)).alias("n"))
 
 
 def precision(events: DataFrame, good: list[str]) -> DataFrame:

@@ -5,20 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the folder of ``spark.checkpoint.dir`` and read again; a local one is set only where it is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local one is set only where it is unset and Spark runs in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .graph import cut
 
 RRF = 60
 
@@ -20,13 +21,19 @@ def _times(term: str) -> Column:
     return F.size(F.filter("tokens", lambda t: t == F.lit(term)))
 
 
-def bm25(rows: DataFrame, query: list[str], k: int, k1: float = 1.2, b: float = 0.75, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """(id, score): the k best rows for any of the query's terms. Rows without text match nothing."""
+def bm25(rows: DataFrame, query: list[str], k: int, k1: float = 1.2, b: float = 0.75, id_col: str = "id", text_col: str = "content", where: Column | None = None) -> DataFrame:
+    """(id, score): the k best rows for any of the query's terms, of those for which ``where`` holds. Rows without text match nothing.
+
+    Texts are cut into tokens once: their counts are written, and statistics and hits are read from that narrow table.
+    """
     terms = sorted(set(query))
-    found = rows.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("tokens"))
-    found = found.select("id", F.size("tokens").alias("length"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    may = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    # explode keeps the optimiser from copying the token expression into each count
+    found = rows.select(F.col(id_col).alias("id"), may.alias("may"), F.explode(F.array(text.tokens(F.col(text_col)))).alias("tokens"))
+    found = found.select("id", "may", F.size("tokens").alias("length"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    found = cut(found)
     stats = found.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hits = found.filter(reduce(lambda a, c: a | c, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).join(F.broadcast(stats))
+    hits = found.filter("may").filter(reduce(lambda a, c: a | c, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).join(F.broadcast(stats))
     parts = []
     for i in range(len(terms)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
@@ -53,8 +60,8 @@ def fuse(channels: list[DataFrame], k: int) -> DataFrame:
     return every.groupBy("id").agg(F.round(F.sum(1 / (RRF + F.col("rank"))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def recall(layers: list[tuple[DataFrame, int]], k: int) -> DataFrame:
-    """(id, source, score): layers of (id, score) by priority; an id counts in its first layer only."""
-    every = reduce(DataFrame.unionByName, [f.orderBy(F.desc("score"), "id").limit(most).select("id", "score", F.lit(i).alias("source")) for i, (f, most) in enumerate(layers)])
+def recall(layers: list[tuple[DataFrame, int, str | None]], k: int) -> DataFrame:
+    """(id, source, score): layers of (id, score) by priority, each cut to so many by a column (or score); an id counts in its first layer only."""
+    every = reduce(DataFrame.unionByName, [f.orderBy(*([F.desc(order)] if order else []), F.desc("score"), "id").limit(most).select("id", "score", F.lit(i).alias("source")) for i, (f, most, order) in enumerate(layers)])
     first = every.groupBy("id").agg(F.min_by("score", "source").alias("score"), F.min("source").alias("source"))
     return first.select("id", "source", "score").orderBy(F.desc("score"), "id").limit(k)

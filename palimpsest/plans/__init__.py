@@ -11,12 +11,15 @@ from ..functions import scores, text
 from ..operators import analytics, graph, memory, retrieval
 from ..sources import frames, parsers
 from ..streaming import usage
-from . import more
+from . import more, relational
 from .sql import SQL
 
 AS_OF = "2024-02-01 00:00:00"
+RECALL_AT = "2025-06-01 00:00:00"
 TERMS = ["the", "and", "that", "with"]
 K = 20
+#: Texts with and without hints at a changed fact.
+HINTS = (None, "", "It NO LONGER works", "plain", "Changed to B", "used to run", "instead now C", "fine, but now D", "Previously E", "longer no", "was replaced")
 
 
 def _memories(f: Callable, *args, **kwargs) -> Callable[[SparkSession, str], DataFrame]:
@@ -47,13 +50,20 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recall_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Statics (a quarter of the limit), words, important and newest rows; scores decay, rows of a wanted source gain."""
+    k = 30
     rows = frames.active(frames.memories(spark, sf))
-    score = lambda c: F.col(c).cast("double").alias("score")
-    statics = rows.filter("is_static").select("id", F.lit(100.0).alias("score"))
-    words = retrieval.bm25(rows, TERMS, K).select("id", (F.col("score") * 50).alias("score"))
-    important = rows.filter("importance >= 8").select("id", score("importance"))
-    newest = rows.select("id", F.lit(1.0).alias("score"))
-    return retrieval.recall([(statics, 5), (words, K), (important, K), (newest, K)], K)
+    rate = scores.retrievability(memory.age(RECALL_AT), F.col("fsrs_stability"))
+    decayed = rows.withColumn("decay", F.round(F.col("importance") * rate, 3))
+    statics = rows.filter("is_static").select("id", F.lit(100.0).alias("score"), "importance")
+    words = retrieval.bm25(rows, TERMS, 10).join(decayed.select("id", "decay", "importance"), "id")
+    words = words.select("id", (F.col("score") * 50 * F.col("decay") / F.col("importance")).alias("score"))
+    important = decayed.filter("importance >= 8").select("id", (F.col("decay") * 2).alias("score"))
+    newest = rows.select("id", F.lit(1.0).alias("score"), "created_at")
+    layers = [(statics, max(1, -(-k // 4)), "importance"), (words, 10, None), (important, 10, None), (newest, k, "created_at")]
+    found = retrieval.recall(layers, 4 * k)
+    tagged = found.join(rows.select("id", F.col("source").isin("src1", "src3", "src5").alias("wanted")), "id")
+    return tagged.select("id", "source", F.round(F.col("score") * F.when(F.col("wanted"), 1.2).otherwise(1.0), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def pagerank_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +95,9 @@ def token_estimates(rows: DataFrame) -> DataFrame:
 
 
 def contradiction_hints(rows: DataFrame) -> DataFrame:
-    return rows.filter(text.contradicts(F.coalesce("content", F.lit("")))).select("id")
+    """Of texts with each phrase in turn, null and empty ones included."""
+    phrases = F.array(*[F.lit(p) for p in HINTS])
+    return rows.withColumn("content", F.element_at(phrases, (F.col("id") % len(HINTS) + 1).cast("int"))).filter(text.contradicts(F.coalesce("content", F.lit("")))).select("id")
 
 
 def link_weights(rows: DataFrame) -> DataFrame:
@@ -135,8 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | more.QUERIES
+    return QUERIES | more.QUERIES | relational.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | more.SQL
+    return SQL | more.SQL | relational.SQL

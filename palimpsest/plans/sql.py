@@ -57,16 +57,18 @@ SQL: dict[str, str] = {
     "hybrid_search": f"""WITH {BM25}, {NEAR}, ranks AS (
         SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm25 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM near)
         SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM ranks GROUP BY id ORDER BY score DESC, id LIMIT 20""",
-    "recall_layers": f"""WITH {BM25}, layers AS (
-        SELECT * FROM (SELECT id, 100.0::DOUBLE AS score, 0 AS source FROM active WHERE is_static ORDER BY id LIMIT 5)
-        UNION ALL SELECT id, score * 50, 1 FROM bm25
-        UNION ALL SELECT * FROM (SELECT id, importance::DOUBLE AS score, 2 FROM active WHERE importance >= 8 ORDER BY score DESC, id LIMIT 20)
-        UNION ALL SELECT * FROM (SELECT id, 1.0::DOUBLE, 3 FROM active ORDER BY id LIMIT 20))
-        SELECT id, min(source) AS source, arg_min(score, source) AS score FROM layers GROUP BY id ORDER BY score DESC, id LIMIT 20""",
+    "recall_layers": f"""WITH {BM25}, decayed AS (SELECT *, round(importance * ({_R.format('2025-06-01 00:00:00')}), 3) AS decay FROM active), layers AS (
+        SELECT * FROM (SELECT id, 100.0::DOUBLE AS score, 0 AS source FROM active WHERE is_static ORDER BY importance DESC, id LIMIT 8)
+        UNION ALL SELECT id, b.score * 50 * decay / importance, 1 FROM (SELECT * FROM bm25 ORDER BY score DESC, id LIMIT 10) b JOIN decayed USING (id)
+        UNION ALL SELECT * FROM (SELECT id, decay * 2 AS score, 2 FROM decayed WHERE importance >= 8 ORDER BY score DESC, id LIMIT 10)
+        UNION ALL SELECT * FROM (SELECT id, 1.0::DOUBLE, 3 FROM active ORDER BY created_at DESC, id LIMIT 30)),
+        own AS (SELECT id, min(source) AS layer, arg_min(score, source) AS score FROM layers GROUP BY id)
+        SELECT id, layer AS source, round(own.score * CASE WHEN a.source IN ('src1', 'src3', 'src5') THEN 1.2 ELSE 1.0 END::DOUBLE, 6) AS score FROM own JOIN active a USING (id) ORDER BY score DESC, id LIMIT 30""",
     "list_recent": f"WITH {MEMORIES} SELECT id, category, source, created_at FROM active WHERE category = 'en' ORDER BY created_at DESC, id DESC LIMIT 50",
     "stale_high_value": f"""WITH {MEMORIES} SELECT id, importance, access_count, CASE WHEN length(content) > 120 THEN left(content, 120) || '…' ELSE content END AS preview
         FROM active WHERE importance >= 6 AND NOT is_static AND {_AGE.format("2024-02-01 00:00:00")} > 20 AND access_count < 2 ORDER BY importance DESC, created_at, id LIMIT 50""",
-    "contradiction_hints": f"WITH {MEMORIES} SELECT id FROM memories WHERE regexp_matches(lower(coalesce(content, '')), 'no longer|changed to|used to|instead now|but now|previously')",
+    "contradiction_hints": f"""WITH {MEMORIES}, h AS (SELECT id, [NULL, '', 'It NO LONGER works', 'plain', 'Changed to B', 'used to run', 'instead now C', 'fine, but now D', 'Previously E', 'longer no', 'was replaced'][(id % 11 + 1)::INT] AS content FROM memories)
+        SELECT id FROM h WHERE regexp_matches(lower(coalesce(content, '')), 'no longer|changed to|used to|instead now|but now|previously')""",
     "access_tiers": f"""WITH {MEMORIES} SELECT CASE WHEN access_count = 0 THEN 'never' WHEN access_count < 3 THEN 'cold' WHEN access_count < 8 THEN 'warm' ELSE 'hot' END AS tier,
         count(*) AS n, round(avg(importance), 4) AS mean_importance FROM memories GROUP BY 1""",
     "category_histogram": f"WITH {MEMORIES} SELECT category, count(*) AS n FROM memories GROUP BY 1",
@@ -88,10 +90,10 @@ SQL: dict[str, str] = {
     "unlinked_memories": f"WITH {MEMORIES} SELECT id, importance FROM active WHERE id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND id NOT IN (SELECT doc_id + 1 FROM labels WHERE doc_id IS NOT NULL)",
     "current_state": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events)
         SELECT user_id, event_type, max(value) FILTER (k = 1) AS value, max(value) FILTER (k = 2) AS previous_value, count(*) AS updates FROM o GROUP BY 1, 2""",
-    "usage_daily": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "usage_daily": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "usage_totals": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1",
     "access_pattern": "SELECT CAST(dayofweek(ts) AS INTEGER) AS day_of_week, CAST(hour(ts) AS INTEGER) AS hour_of_day, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3",
-    "metric_summary": "SELECT user_id, event_type, round(coalesce(avg(value), 0), 4) AS mean, coalesce(min(value), 0) AS least, coalesce(max(value), 0) AS most, count(*) AS n FROM events GROUP BY 1, 2",
+    "metric_summary": "SELECT user_id, event_type, coalesce(round(CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) / count(value), 3), 0) AS mean, coalesce(min(value), 0) AS least, coalesce(max(value), 0) AS most, count(*) AS n FROM events GROUP BY 1, 2",
     "feedback_precision": "SELECT user_id, count(*) AS signals, floor(count(*) FILTER (event_type IN ('purchase', 'click'))::DOUBLE / count(*) * 1000 + 0.5) / 1000 AS precision FROM events GROUP BY 1",
     "sla_report": """SELECT n, round(fast, 4) AS fast_percent, round(slow, 4) AS slow_percent, round(errors, 4) AS errors_percent, fast >= 95 AS fast_met, slow >= 95 AS slow_met, errors < 1 AS errors_met FROM (
         SELECT count(*) AS n, 100.0::DOUBLE * count(*) FILTER (value < 100) / count(*) AS fast, 100.0::DOUBLE * count(*) FILTER (value < 200) / count(*) AS slow, 100.0::DOUBLE * count(*) FILTER (event_type = 'error') / count(*) AS errors FROM events)""",

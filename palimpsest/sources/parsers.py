@@ -13,6 +13,6 @@ def html_titles(pages: DataFrame) -> DataFrame:
 
 def transcripts(turns: DataFrame) -> DataFrame:
     """(conv_id, messages, transcript): 'Role: text' by turn, a blank line between. A conversation is gathered as one row."""
-    line = F.concat(F.upper(F.left("role", F.lit(1))), F.substring("role", 2, 1000), F.lit(": "), F.coalesce("text", F.lit("")))
+    line = F.concat(F.upper(F.left("role", F.lit(1))), F.substring("role", 2, 2147483647), F.lit(": "), F.coalesce("text", F.lit("")))
     own = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
     return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.array_join(F.transform(own, lambda x: x["line"]), "\n\n").alias("transcript"))
