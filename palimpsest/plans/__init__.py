@@ -11,7 +11,7 @@ from ..functions import scores, text
 from ..operators import analytics, graph, memory, retrieval
 from ..sources import frames, parsers
 from ..streaming import usage
-from . import more, relational
+from . import more, relational, wording
 from .sql import SQL
 
 AS_OF = "2024-02-01 00:00:00"
@@ -147,8 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | more.QUERIES | relational.QUERIES
+    return QUERIES | more.QUERIES | relational.QUERIES | wording.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | more.SQL | relational.SQL
+    return SQL | more.SQL | relational.SQL | wording.SQL
