@@ -11,7 +11,7 @@ from ..functions import scores, text
 from ..operators import analytics, graph, memory, retrieval
 from ..sources import frames, parsers
 from ..streaming import usage
-from . import more, relational, wording
+from . import evolving, ingest, more, relational, searching, structural, wording
 from .sql import SQL
 
 AS_OF = "2024-02-01 00:00:00"
@@ -146,9 +146,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+PARTS = (more, relational, wording, evolving, searching, structural, ingest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | more.QUERIES | relational.QUERIES | wording.QUERIES
+    return QUERIES | {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | more.SQL | relational.SQL | wording.SQL
+    return SQL | {name: sql for part in PARTS for name, sql in part.SQL.items()}

@@ -33,8 +33,9 @@ def _today() -> Column:
     return F.to_date(F.lit(TODAY))
 
 
-def _each(**columns: Column) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: phrased(spark, sf).select("id", *[c.alias(k) for k, c in columns.items()])
+def _each(columns: Callable[[Column], dict[str, Column]]) -> Callable[[SparkSession, str], DataFrame]:
+    """Columns of each phrase; made when the query is, as they need a session."""
+    return lambda spark, sf: phrased(spark, sf).select("id", *[c.alias(k) for k, c in columns(F.col("content")).items()])
 
 
 def typed_skills(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,26 +115,25 @@ def signed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("c_custkey", F.sha2(rules.canonical_json({"name": F.col("c_name"), "id": F.col("c_custkey"), "nation": F.col("c_nationkey")}), 256).alias("sha256"))
 
 
-_C = F.col("content")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (typed_skills, emotional_profile, rows_by_emotion, preferences, states, extracted_facts, skipped_extractions, signal_search, token_overlaps, decomposed, scale_tiers, send_times, episode_durations, private_hosts, signed_rows)
 } | {
-    "question_ladder": _each(type=rules.question_type(_C, _today())),
-    "question_mix": lambda spark, sf: phrased(spark, sf).select("id", F.explode(rules.question_mix(_C, _today())).alias("type", "weight")),
-    "query_dates": _each(date=rules.query_date(_C, _today())),
-    "relative_dates": _each(date=rules.relative_date(_C, _today()).cast("string")),
-    "emotions": lambda spark, sf: phrased(spark, sf).select("id", rules.emotion(_C).alias("e")).select("id", "e.*"),
-    "chain_roles": _each(role=rules.chain_role(_C), name=rules.chain_name(_C)),
-    "domains": _each(domain=rules.domain(_C)),
-    "guards": _each(verdict=rules.guard(_C, F.col("id") % 10 + 1, (F.col("id") * 13) % 100)),
-    "loose_claims": _each(n=F.size(rules.ungrounded_claims(_C, F.lit(CORPUS))).cast("long")),
-    "sentence_counts": _each(n=F.size(rules.sentences(_C)).cast("long")),
-    "match_terms": _each(query=rules.match_terms(_C)),
-    "canonical_tokens": _each(tokens=F.array_join(F.array_distinct(text.tokens(_C)), " ")),
+    "question_ladder": _each(lambda c: dict(type=rules.question_type(c, _today()))),
+    "question_mix": lambda spark, sf: phrased(spark, sf).select("id", F.explode(rules.question_mix(F.col("content"), _today())).alias("type", "weight")),
+    "query_dates": _each(lambda c: dict(date=rules.query_date(c, _today()))),
+    "relative_dates": _each(lambda c: dict(date=rules.relative_date(c, _today()).cast("string"))),
+    "emotions": lambda spark, sf: phrased(spark, sf).select("id", rules.emotion(F.col("content")).alias("e")).select("id", "e.*"),
+    "chain_roles": _each(lambda c: dict(role=rules.chain_role(c), name=rules.chain_name(c))),
+    "domains": _each(lambda c: dict(domain=rules.domain(c))),
+    "guards": _each(lambda c: dict(verdict=rules.guard(c, F.col("id") % 10 + 1, (F.col("id") * 13) % 100))),
+    "loose_claims": _each(lambda c: dict(n=F.size(rules.ungrounded_claims(c, F.lit(CORPUS))).cast("long"))),
+    "sentence_counts": _each(lambda c: dict(n=F.size(rules.sentences(c)).cast("long"))),
+    "match_terms": _each(lambda c: dict(query=rules.match_terms(c))),
+    "canonical_tokens": _each(lambda c: dict(tokens=F.array_join(F.array_distinct(text.tokens(c)), " "))),
     "clamped_importance": lambda spark, sf: phrased(spark, sf).select("id", rules.clamped_importance(F.element_at(F.array(*[F.lit(x) for x in (None, "0", "-5", "15", "abc", " 7.5 ", "8", "")]), (F.col("id") % 8 + 1).cast("int"))).alias("importance")),
-    "rejections": _each(reason=F.coalesce(rules.rejection(_C, 60), F.lit("none"))),
-    "corrections": _each(content=rules.correction(F.lit("It is B."), _C, F.when(F.col("id") % 3 > 0, F.col("id")))),
+    "rejections": _each(lambda c: dict(reason=F.coalesce(rules.rejection(c, 60), F.lit("none")))),
+    "corrections": _each(lambda c: dict(content=rules.correction(F.lit("It is B."), c, F.when(F.col("id") % 3 > 0, F.col("id"))))),
 }
 
 _P = "[" + ", ".join("NULL" if p is None else "'" + p.replace("'", "''") + "'" for p in PHRASES) + "]"
