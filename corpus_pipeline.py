@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, substring dedup, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return
-the columns of ``documents``. Documents without text, or without letters, go in the first stage; the second
-keeps the largest id of equal texts, the third the least id of each group of near copies; the fourth takes
+the columns of ``documents``. Documents without text or letters, and longer ones that fit no learned language,
+go in the first stage (without any labelled language, only the former); the second keeps the largest id of equal texts, the third the least id of each group of near copies; the fourth takes
 repeated passages out of the texts (a text may become empty, its row stays); the fifth packs what is left.
 """
 
@@ -43,7 +43,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: No SQL expresses the stages; tests hold the rows against a plain version.
+#: No SQL expresses the stages; tests/llm/test_pipeline.py holds each stage and the whole against plain versions.
 ORACLE_SQL = None
 
 

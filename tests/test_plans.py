@@ -24,7 +24,7 @@ def rows(frame):
     return columns, sorted(tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(plans.queries()))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:
