@@ -13,7 +13,7 @@ def normal(text: Column) -> Column:
 
 def tokens(text: Column, least: int = 3) -> Column:
     """The words of the normal form that have ``least`` letters or more, repeats included."""
-    return F.filter(F.split(normal(text), " "), lambda t: F.length(t) >= least)
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= least)
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -11,26 +11,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import scores
 from .graph import cut
 
 RRF = 60
 
 
 def _times(term: str) -> Column:
-    return F.size(F.filter("tokens", lambda t: t == F.lit(term)))
+    """How often a term stands in ``low`` as a whole token."""
+    return F.regexp_count("low", F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
 
 
 def bm25(rows: DataFrame, query: list[str], k: int, k1: float = 1.2, b: float = 0.75, id_col: str = "id", text_col: str = "content", where: Column | None = None) -> DataFrame:
     """(id, score): the k best rows for any of the query's terms, of those for which ``where`` holds. Rows without text match nothing.
 
-    Texts are cut into tokens once: their counts are written, and statistics and hits are read from that narrow table.
+    Texts are read once: terms are counted in place, the counts are written, and statistics and hits are read from that narrow table.
     """
-    terms = sorted(set(query))
+    terms = sorted({t for t in query if t.isascii() and t.isalnum() and t == t.lower()})
     may = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    # explode keeps the optimiser from copying the token expression into each count
-    found = rows.select(F.col(id_col).alias("id"), may.alias("may"), F.explode(F.array(text.tokens(F.col(text_col)))).alias("tokens"))
-    found = found.select("id", "may", F.size("tokens").alias("length"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    # explode keeps the optimiser from lower-casing the text for each count
+    found = rows.select(F.col(id_col).alias("id"), may.alias("may"), F.explode(F.array(F.lower(F.coalesce(text_col, F.lit(""))))).alias("low"))
+    found = found.select("id", "may", F.regexp_count("low", F.lit("[a-z0-9]{3,}")).alias("length"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
     found = cut(found)
     stats = found.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hits = found.filter("may").filter(reduce(lambda a, c: a | c, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).join(F.broadcast(stats))
