@@ -1,12 +1,13 @@
 """Toxicity scores from a learned lexicon, matched fuzzily and weighed by context.
 
 Learning reads at most ``SAMPLE_PER_LABEL`` labelled documents of each label (those of least id hash): a bound
-on the classifier's fit. It finds words, and stems that begin many different words, that are far more frequent
-under label 1, and fits a logistic regression on what they look like in context.
+on the classifier's fit. Of near copies within the sample (texts of one label with a min-hash of 5-word shingles in common) one counts,
+so that no word seems frequent by being copied. It finds words, and stems that begin many different words, that are far more frequent
+under label 1 than chance among so many words explains, and fits a logistic regression on what they look like in context.
 
 Scoring reads each whole text. Each different word of it meets the lexicon's trie through a Levenshtein
 automaton that allows one edit in words of five letters or more, two from nine on; a stem must begin the word
-exactly. Around each match a window of words is looked at: a match inside quotation marks, or near a verb of
+exactly, but words chosen with a stem are in the trie too, so that edits inside the stem are met. Around each match a window of words is looked at: a match inside quotation marks, or near a verb of
 saying, counts as quoted; one close to further matches counts as heaped. The regression weighs these counts.
 
 Defined results. A null text is empty; texts without a match get the regression's base score, empty ones too.
@@ -19,15 +20,17 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._text import as_long, mix, ngram_hash
 from .language import held_out, sample_ids
 
 SAMPLE_PER_LABEL = 2000
@@ -37,6 +40,9 @@ WINDOW = 12
 THRESHOLD = 0.3
 CACHE_WORDS = 500_000
 FEATURES = 8
+RATE = 0.2
+SHINGLE = 5
+SIGNATURE = 4
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = "\"“”„«»‟"
@@ -48,15 +54,16 @@ EXACT, STEM, FUZZY = 1, 2, 3
 
 @dataclass
 class Lexicon:
-    """Words (matched with edits) and stems (matched as beginnings), in a trie."""
+    """Words (matched with edits) in a trie, stems (matched as beginnings), and words with these stems (matched by the stem, or with edits)."""
 
     words: list[str]
     stems: list[str]
+    stemmed: list[str] = field(default_factory=list)
     trie: dict = field(default_factory=dict)
     known: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        for word in self.words:
+        for word in self.words + self.stemmed:
             node = self.trie
             for c in word:
                 node = node.setdefault(c, {})
@@ -68,7 +75,7 @@ class Lexicon:
         self.heads: set[str] = set()
         self.tails: set[str] = set()
         self.middles: set[str] = set()
-        for word in self.words:
+        for word in self.words + self.stemmed:
             edits = allowed(len(word))
             if edits:
                 n = len(word) // (edits + 1)
@@ -177,11 +184,11 @@ def choose(counts: list[tuple[str, bool, int, int]], positive: int, negative: in
     """The lexicon from (unit, is stem, documents with it of label 1, of label 0)."""
     scored = {}
     for unit, stem, p, n in counts:
-        odds = math.log((p + 0.5) / (positive + 1)) - math.log((n + 0.5) / (negative + 1))
-        if odds >= 2.5 and n * positive <= 0.1 * p * negative:
+        if n * positive <= RATE * p * negative:
             scored[unit, stem] = p
     stems: list[str] = []
     words: list[str] = []
+    stemmed: list[str] = []
     best_word = Counter()
     for (unit, stem), p in scored.items():
         if not stem:
@@ -191,9 +198,9 @@ def choose(counts: list[tuple[str, bool, int, int]], positive: int, negative: in
         if stem and best_word[unit] < 0.6 * p and not any(unit.startswith(s) for s in stems):
             stems.append(unit)
     for (unit, stem), p in sorted(scored.items(), key=lambda x: (-x[1], x[0])):
-        if not stem and not any(unit.startswith(s) for s in stems):
-            words.append(unit)
-    return Lexicon(words[:LEXICON], stems[:LEXICON])
+        if not stem:
+            (stemmed if any(unit.startswith(s) for s in stems) else words).append(unit)
+    return Lexicon(words[:LEXICON], stems[:LEXICON], stemmed[:LEXICON])
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
@@ -211,14 +218,37 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> n
     return w
 
 
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, text) with the ``SIGNATURE`` min-hashes of each text's shingles."""
+    seeds = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64))
+    for batch in batches:
+        least = []
+        for text in batch.column(1).to_pylist():
+            codes = np.array([zlib.crc32(w.encode()) for w in _WORD.findall(text.lower())], np.uint64)
+            grams = ngram_hash(codes, min(SHINGLE, len(codes))) if len(codes) else np.zeros(1, np.uint64)
+            least += [mix(grams ^ seed).min() for seed in seeds]
+        offsets = pa.array(np.arange(0, len(least) + 1, SIGNATURE, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, as_long(np.array(least, np.uint64)))], ["y", "text", "least"])
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """(y, text) of a bounded sample, without texts that share a min-hash with one of the same label and a smaller hash."""
+    signed = rows.mapInArrow(_sign, "y int, text string, least array<long>").withColumn("h", F.xxhash64("text"))
+    each = signed.select("y", "h", F.posexplode("least").alias("k", "least"))
+    first = F.min("h").over(Window.partitionBy("y", "k", "least"))
+    kept = each.select("y", "h", (F.col("h") > first).alias("copy")).groupBy("y", "h").agg(F.max("copy").alias("copy")).filter("not copy")
+    # no more than the sample's rows are broadcast
+    return signed.join(F.broadcast(kept), ["y", "h"]).select("y", "text")
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_PER_LABEL) -> Model:
     """The model from labelled documents, all of which may be learned from."""
     marks = labels.groupBy(labels[id_col].alias("id")).agg(F.max(labels[label_col]).alias("y")).filter("y in (0, 1)")
     chosen = sample_ids(marks.filter("id is not null"), "y", sample)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("text is not null")
     # at most 2 * sample rows are broadcast
-    rows = texts.join(F.broadcast(chosen), "id").select("y", "text").distinct()
-    rows = rows.withColumn("y", F.col("y").cast("int")).cache()
+    rows = texts.join(F.broadcast(chosen), "id").select(F.col("y").cast("int").alias("y"), "text").distinct()
+    rows = without_copies(rows).cache()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -235,15 +265,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows.unpersist()
         return Model(Lexicon([], []), None)
     units = rows.mapInArrow(count, "unit string, stem boolean, y int, n long").groupBy("unit", "stem").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
-    least = max(3, math.ceil(0.015 * positive))
-    frequent = units.filter((F.col("p") >= least) & (F.col("q") * positive <= 0.1 * F.col("p") * negative))
-    top = frequent.orderBy(F.desc("p"), "unit", "stem").limit(20 * LEXICON).collect()
+    units = units.cache()
+    # Chernoff's bound on chance: as many units as there are would give about one false term
+    seen, share = F.col("p") + F.col("q"), positive / (positive + negative)
+    a, b = F.col("p") / seen, F.col("q") / seen
+    surprise = seen * (a * F.log(a / share) + F.when(b > 0, b * F.log(b / (1 - share))).otherwise(0.0))
+    frequent = units.filter((F.col("p") >= 3) & (F.col("q") * positive <= RATE * F.col("p") * negative)).filter(surprise >= math.log(units.count()))
+    top = frequent.orderBy(F.desc(surprise), "unit", "stem").limit(20 * LEXICON).collect()
+    units.unpersist()
     lexicon = choose([(r.unit, r.stem, r.p, r.q) for r in top], positive, negative)
 
-    words, stems = lexicon.words, lexicon.stems
+    words, stems, stemmed = lexicon.words, lexicon.stems, lexicon.stemmed
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(words, stems)
+        own = Lexicon(words, stems, stemmed)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
 
@@ -256,10 +291,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with score and predicted."""
     rest = [f.name for f in docs.schema.fields if f.name != text_col]
     schema = docs.select(*[docs[c] for c in rest]).schema.add("score", "double").add("predicted", "integer")
-    words, stems, weights = model.lexicon.words, model.lexicon.stems, model.weights
+    words, stems, stemmed, weights = model.lexicon.words, model.lexicon.stems, model.lexicon.stemmed, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(Lexicon(words, stems), weights)
+        own = Model(Lexicon(words, stems, stemmed), weights)
         for batch in batches:
             found = np.array([own.score(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))], schema.fieldNames())

@@ -84,6 +84,19 @@ def test_quotation_and_abuse_differ():
     assert lexicon.features("you are a scoundrell")[2] > 0
 
 
+def test_toxicity_stemmed_words_are_met_with_edits():
+    lexicon = toxicity.Lexicon([], ["scound"], ["scoundrel"])
+    assert [lexicon.kind(w) for w in ("scoundrel", "scoundrels", "scuondrel", "skoundrel", "ground")] == [toxicity.STEM, toxicity.STEM, toxicity.FUZZY, toxicity.FUZZY, 0]
+
+
+def test_toxicity_copies_count_once(spark):
+    base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = [(1, " ".join(base[:k] + ["changed"] + base[k:])) for k in range(40, 60)] + [(0, " ".join(base)), (1, "alone in this text"), (1, ""), (0, "")]
+    kept = toxicity.without_copies(spark.createDataFrame(rows, "y int, text string")).collect()
+    copies = [r for r in kept if r.y == 1 and "changed" in r.text]
+    assert 1 <= len(copies) <= 2 and {(r.y, r.text) for r in kept} - {(r.y, r.text) for r in copies} == {rows[20], rows[21], rows[22], rows[23]}
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 0), (3, "x", None), (None, "y", 1), (3, "x", 1)], "doc_id long, text string, toxic int")
     for labels in ([], [(1, 1)], [(3, 0), (3, 1), (None, 1), (4, None)]):
