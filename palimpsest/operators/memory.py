@@ -92,3 +92,17 @@ def state(log: DataFrame, keys: list[str], order: list[str], value: str) -> Data
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
     two = log.select(*keys, *order, value).withColumn("n", rank).filter("n <= 2").groupBy(*keys).agg(F.max(F.when(F.col("n") == 1, F.col(value))).alias("value"), F.max(F.when(F.col("n") == 2, F.col(value))).alias("previous_value"))
     return two.join(log.groupBy(*keys).agg(F.count(F.lit(1)).alias("updates")), keys)
+
+
+def scratch(writes: DataFrame, as_of: Column, keys: list[str], at: str = "ts", order: str = "event_id", value: str = "value", minutes: Column | None = None, least: int = 1, default: int = 30, most: int = 1440) -> DataFrame:
+    """(keys, value, created_at, updated_at, expires_at): of each key the last write, if it still lives at ``as_of``.
+
+    A write lives ``minutes``, ``default`` of them where none are given, held between ``least`` and ``most``. Writes after ``as_of`` or
+    without a time take no part; of writes at one time the greater ``order`` counts. One partial aggregate by key; a hot key is one row of it in each task.
+    """
+    lives = F.least(F.greatest(F.coalesce(F.lit(default) if minutes is None else minutes, F.lit(default)), F.lit(least)), F.lit(most)).cast("long")
+    own = writes.filter(F.col(at) <= as_of).select(*keys, F.col(at).alias("_at"), F.struct(F.col(at), F.col(order), F.col(value).alias("_value"), lives.alias("_lives")).alias("_last"))
+    last = own.groupBy(*keys).agg(F.min("_at").alias("created_at"), F.max("_last").alias("_last"))
+    updated = F.col(f"_last.{at}")
+    out = last.select(*keys, F.col("_last._value").alias("value"), "created_at", updated.alias("updated_at"), F.timestamp_add("MINUTE", F.col("_last._lives"), updated).alias("expires_at"))
+    return out.filter(F.col("expires_at") > as_of)

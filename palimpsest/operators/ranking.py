@@ -138,3 +138,18 @@ def checked_action(found: DataFrame, rows: DataFrame) -> DataFrame:
     """(verdict): the gravest of what static, weighty rules among the found rows say."""
     own = found.join(rows.filter(F.col("is_static") & (F.col("importance") >= 8)), "id")
     return own.agg(F.when(F.count_if(rules.guard(F.col("content"), F.col("importance")) == "warn") > 0, "warn").otherwise("allow").alias("verdict"), F.count(F.lit(1)).alias("rules"))
+
+
+def reranked(hits: DataFrame, scored: Column, top: int) -> DataFrame:
+    """``hits`` (id, score and what ``scored`` reads; cut to its best before) with place, ce_score and a new score.
+
+    The ``top`` best are put in the order of ``scored`` (null last; ties as they were), and their scores grow by up to half, most for the
+    first; the rest follow unchanged, without ce_score. Windows without keys: the hits are a page of results, not a table.
+    """
+    was = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
+    own = hits.withColumn("was", was).withColumn("ce_score", F.when(F.col("was") <= top, scored))
+    rest = F.col("was") > top
+    own = own.withColumn("place", F.row_number().over(Window.orderBy(rest, F.desc_nulls_last("ce_score"), "was")))
+    n = F.least(F.count(F.lit(1)).over(Window.partitionBy()), F.lit(top))
+    score = F.when(rest, F.col("score")).otherwise(F.col("score") * (1 + (n - F.col("place") + 1) / n * 0.5))
+    return own.select("id", "place", "ce_score", F.round(score, 6).alias("score"))
