@@ -107,7 +107,7 @@ SQL: dict[str, str] = {
         s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, min(ts) AS started_at, max(ts) AS last_at, count(*) AS n FROM s GROUP BY user_id, session""",
     "stream_usage_daily": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "html_titles": "SELECT page_id, trim(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1)) AS title FROM pages",
-    "conversation_transcripts": """SELECT conv_id, count(*) AS messages, string_agg(upper(left(role, 1)) || substring(role, 2) || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1""",
+    "conversation_transcripts": """SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS part, count(*) AS messages, string_agg(upper(left(role, 1)) || substring(role, 2) || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1, 2""",
     "question_types": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{k}'" for k, p in QUESTIONS) + " ELSE 'fact_recall' END AS type FROM conversations",
     "part_name_similarity": """WITH g AS (SELECT p_partkey, list_distinct([substring(lower(p_name), i, 2) for i in range(1, length(p_name))]) AS a, list_distinct([substring(lower(p_type), i, 2) for i in range(1, length(p_type))]) AS b FROM part)
         SELECT p_partkey, round(CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM g""",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import repair, signals, stems
 from palimpsest.operators import people
+from palimpsest.sources import parsers
 
 
 def test_nulls(spark):
@@ -20,3 +21,10 @@ def test_empty_tables(spark):
     assert people.profile(found).count() == people.mixed_subjects(found).count() == 0
     rows = spark.createDataFrame([], "id long, content string, created_at timestamp")
     assert people.signal_channel(found, rows, "garden", 3).count() == 0
+
+
+def test_long_conversation(spark):
+    turns = spark.range(25).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    parts = parsers.transcripts(turns.unionByName(turns.limit(1).withColumn("turn", F.lit(None).cast("long"))), 10).orderBy("part").collect()
+    assert [(r.part, r.messages) for r in parts] == [(None, 1), (0, 10), (1, 10), (2, 5)]
+    assert "\n\n".join(r.transcript for r in parts[1:]) == "\n\n".join(f"User: {i}" for i in range(25))
