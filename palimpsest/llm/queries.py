@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html, jaccard, language, packing, substring_dedup, suffix_dedup, topk, toxicity
+from . import bpe, divergence, exact_dedup, html, jaccard, language, packing, periodic, simhash, substring_dedup, suffix_dedup, topk, toxicity
 from ._store import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,7 +54,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_exact_topk, op4_best_fit_packing, op5_substring_dedup, op6_html_text, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_exact_dedup)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(documents(spark, sf_dir))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_byte_bpe, op3_exact_topk, op4_best_fit_packing, op5_substring_dedup, op6_html_text, op7_suffix_dedup, op8_toxicity, op9_language_id, op10_exact_dedup,
+        op11_source_divergence, op12_periodic_runs, op13_simhash_near_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
@@ -80,4 +98,35 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op11_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        w AS (
+            SELECT row, lang, source, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM d
+        ),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+        kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+        grid AS (
+            SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n
+            FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)
+        ),
+        s AS (
+            SELECT lang, source, term, n,
+                   1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p,
+                   1 + (1000000000 * (sum(n) OVER (PARTITION BY lang, term) + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang, source)) AS q
+            FROM grid
+        ),
+        pairs AS (
+            SELECT g.lang, g.source, h.source AS item,
+                   coalesce((SELECT sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term WHERE a.lang = g.lang AND a.source = g.source AND b.source = h.source), 0) AS value
+            FROM (SELECT DISTINCT lang, source FROM d) g JOIN (SELECT DISTINCT lang, source FROM d) h ON g.lang = h.lang AND g.source <> h.source
+        ),
+        both_parts AS (
+            SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+            UNION ALL
+            SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM s WHERE n > 0 AND p > q
+        )
+        SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_parts)
+        WHERE part = 'pair' OR rank <= 10
+    """,
 }
