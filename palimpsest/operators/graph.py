@@ -30,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` has written, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pagerank(links: DataFrame, rounds: int = 25, damping: float = 0.85, settled: float = 1e-6) -> DataFrame:
     """(id, rank): weighted ranks over (source_id, target_id, similarity, type); dangling rank isn't dealt out again.
 
@@ -42,9 +51,11 @@ def pagerank(links: DataFrame, rounds: int = 25, damping: float = 0.85, settled:
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
     new = F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))
-    for _ in range(rounds):
+    for done in range(rounds):
         got = edges.join(ranks, edges.source_id == ranks.id).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         step = cut(ranks.join(got, "id", "left").select("id", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        if done:
+            drop(ranks)
         ranks = step.select("id", "rank")
         if settled and (step.agg(F.max("moved")).first()[0] or 0.0) < settled:
             break

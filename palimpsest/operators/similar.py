@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,26 +23,55 @@ BITS = 64
 START, FACTOR = 2166136261, 16777619
 
 
-def token_hash(token: Column, suffix: Column | None = None) -> Column:
-    """32 bits: each character is mixed in, the product rounded to a double and cut to 32 bits."""
-    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
-    codes = codes if suffix is None else F.concat(codes, F.array(suffix))
+def token_hash(codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """32 bits of each row of codes, of which the first ``length`` count: each is mixed in, the product rounded to a double and cut to 32 bits."""
+    h = np.full(len(codes), START, np.int64)
+    for i in range(codes.shape[1]):
+        x = h ^ codes[:, i]
+        signed = np.where(x >= 1 << 31, x - (1 << 32), x)
+        h = np.where(i < length, (signed * float(FACTOR)).astype(np.int64) & 0xFFFFFFFF, h)
+    return h
 
-    def step(h: Column, code: Column) -> Column:
-        x = h.bitwiseXOR(code.cast("long"))
-        signed = F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x)
-        return (signed.cast("double") * float(FACTOR)).cast("long").bitwiseAND((1 << 32) - 1)
 
-    return F.aggregate(codes, F.lit(START).cast("long"), step)
+def _token_bits(tokens: pa.Array) -> np.ndarray:
+    """64 bits of each token (ASCII): the low ones hash it, the high ones it and a zero."""
+    data = [t.encode() for t in tokens.to_pylist()]
+    order = np.argsort([len(t) for t in data], kind="stable")
+    out = np.zeros(len(data), np.uint64)
+    # tokens of about the same length together, so that one very long token doesn't widen the others
+    for part in np.array_split(order, max(1, len(order) // 4096)):
+        length = np.array([len(data[i]) for i in part], np.int64)
+        width = int(length.max(initial=0)) + 1
+        codes = np.frombuffer(b"".join(data[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width).astype(np.int64)
+        out[part] = token_hash(codes, length).astype(np.uint64) | token_hash(codes, length + 1).astype(np.uint64) << np.uint64(32)
+    return out
 
 
-def simhash(rows: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """(id, simhash): 64 bits, bit i set if more of a text's different tokens have it than haven't; 0 for a text without tokens."""
-    tokens = rows.select(F.col(id_col).alias("id"), F.explode_outer(F.array_distinct(text.tokens(F.col(text_col)))).alias("token"))
-    hashed = tokens.select("id", token_hash(F.col("token")).alias("low"), token_hash(F.col("token"), F.lit(0)).alias("high"))
-    bit = lambda i: F.shiftright("low" if i < 32 else "high", i % 32).bitwiseAND(1)
-    sums = hashed.groupBy("id").agg(*[F.sum(2 * bit(i) - 1).alias(f"b{i}") for i in range(BITS)])
-    return sums.select("id", reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(BITS)]).alias("simhash"))
+def simhash(rows: DataFrame, id_col: str = "id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, simhash, and the columns ``keep``): 64 bits, bit i set if more of a text's different tokens have it than haven't; 0 for a text without tokens.
+
+    One row for each row, so it works on streams too. Each different token of a batch is hashed once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = part.column(1)
+                token = lists.flatten().dictionary_encode()
+                h = _token_bits(token.dictionary)[token.indices.to_numpy()] if len(token) else np.zeros(0, np.uint64)
+                size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+                some = np.flatnonzero(size)
+                value = np.zeros(len(size), np.uint64)
+                if len(some):
+                    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    count = np.add.reduceat(bits, (np.cumsum(size) - size)[some], axis=0, dtype=np.int32)
+                    value[some] = np.packbits(2 * count > size[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value.view(np.int64)), *part.columns[2:]], schema.fieldNames())
+
+    own = rows.select(F.col(id_col).alias("id"), F.array_distinct(text.tokens(F.col(text_col))).alias("tokens"), *keep)
+    schema = own.select("id", F.lit(0).cast("long").alias("simhash"), *keep).schema
+    return own.mapInArrow(run, schema)
 
 
 def as_hex(bits: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import relational, structure
+from ..operators import centrality, relational, structure
 from ..sources import frames
 from .more import typed_links
 from .sql import LINKS
@@ -89,9 +89,22 @@ def label_modularity(spark: SparkSession, sf: str) -> DataFrame:
     return structure.modularity(forest(spark, sf), labels)
 
 
+def graph_betweenness(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers that pass goods on to those of twice and of three times their number, modulo how many there are."""
+    supplier = frames.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("u"))
+    n = supplier.agg(F.count(F.lit(1)).alias("n"))
+    edges = supplier.join(F.broadcast(n)).select("u", F.explode(F.array(F.col("u") * 2 % F.col("n"), (F.col("u") * 3 + 1) % F.col("n"))).alias("v"))
+    return centrality.betweenness(edges).select("id", F.round("centrality", 6).alias("centrality"))
+
+
+def graph_subsystems(spark: SparkSession, sf: str) -> DataFrame:
+    """Communities of the forest, which its trees' branches make up; tests hold their modularity against a plain version."""
+    return centrality.louvain(forest(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (graph_components, graph_levels, graph_breadth, cycle_members, graph_topologies, graph_bridges, graph_path, removal_impact, graph_boundary, ego_graph, cooccurrence_scores, label_modularity)
+    for f in (graph_components, graph_levels, graph_breadth, cycle_members, graph_topologies, graph_bridges, graph_path, removal_impact, graph_boundary, ego_graph, cooccurrence_scores, label_modularity, graph_betweenness, graph_subsystems)
 }
 
 _FOREST = "f AS (SELECT p_partkey AS u, p_partkey // 2 AS v FROM part WHERE p_partkey > 0 AND p_partkey % 7 <> 0), n AS (SELECT u AS id FROM f UNION SELECT v FROM f), up AS (SELECT id AS start, id, 0 AS d FROM n UNION ALL SELECT start, v, d + 1 FROM up JOIN f ON u = id)"
@@ -114,4 +127,11 @@ SQL: dict[str, str] = {
         SELECT a, b, round(0.2::DOUBLE * len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb))) + 0.5::DOUBLE * least(shared / 10.0::DOUBLE, 1.0::DOUBLE) + 0.3::DOUBLE * exp(-days / 30.0::DOUBLE), 6) AS score FROM g""",
     "label_modularity": f"""WITH RECURSIVE {_FOREST}, k AS (SELECT id, count(*) AS k FROM (SELECT u AS id FROM f UNION ALL SELECT v FROM f) GROUP BY 1), m AS (SELECT count(*) AS m FROM f), s AS (SELECT sum(1 - a.k * b.k / (2.0::DOUBLE * m)) AS q FROM f JOIN k a ON a.id = u JOIN k b ON b.id = v, m WHERE u % 4 = v % 4)
         SELECT round(q / (2.0::DOUBLE * m), 4) AS q FROM s, m""",
+    "graph_betweenness": """WITH RECURSIVE s AS (SELECT s_suppkey AS k, count(*) OVER () AS n FROM supplier), e AS (SELECT DISTINCT u, v FROM (SELECT k AS u, k * 2 % n AS v FROM s UNION ALL SELECT k, (k * 3 + 1) % n FROM s) WHERE u <> v),
+        nodes AS (SELECT u AS id FROM e UNION SELECT v FROM e), reach AS (SELECT id AS s, id AS t, 0 AS d FROM nodes UNION SELECT s, v, d + 1 FROM reach JOIN e ON t = u WHERE d < 24),
+        far AS (SELECT s, t, min(d) AS d FROM reach GROUP BY ALL),
+        ways AS (SELECT id AS s, id AS t, 0 AS d FROM nodes UNION ALL SELECT ways.s, e.v, ways.d + 1 FROM ways JOIN e ON ways.t = e.u JOIN far ON far.s = ways.s AND far.t = e.v AND far.d = ways.d + 1),
+        w AS (SELECT s, t, any_value(d) AS d, count(*)::DOUBLE AS n FROM ways GROUP BY s, t),
+        got AS (SELECT a.t AS id, sum(a.n * b.n / c.n) AS sum FROM w a JOIN w b ON a.t = b.s JOIN w c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 AND c.d > 0 GROUP BY 1)
+        SELECT id, round(coalesce(sum, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 6) AS centrality FROM nodes LEFT JOIN got USING (id)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import repair, stems
+from ..functions import repair
 from ..operators import memory, people, retrieval
 from ..sources import frames
 from ..streaming import keyed
@@ -30,15 +30,6 @@ SIGNS = (
     (5, 0, "emotion", "sad", "negative", 0.6), (5, 1, "value", "honest work", "positive", 0.8), (9, 0, "preference", "garden", "negative", 0.45),
     (10, 0, "preference", "tea", "positive", 0.6), (10, 1, "preference", "tea", "negative", 0.6),
 )
-#: Words and their stems.
-STEMS = {
-    "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size",
-    "hopping": "hop", "tanned": "tan", "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration",
-    "digitizer": "digit", "vietnamization": "vietnam", "predication": "predic", "operator": "oper", "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope", "formaliti": "formal", "sensitiviti": "sensit",
-    "triplicate": "triplic", "formative": "form", "formalize": "formal", "electrical": "electr", "hopeful": "hope", "goodness": "good", "revival": "reviv", "allowance": "allow", "airliner": "airlin", "adjustable": "adjust",
-    "replacement": "replac", "adjustment": "adjust", "dependent": "depend", "adoption": "adopt", "communism": "commun", "activate": "activ", "effective": "effect", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control",
-    "roll": "roll", "as": "as", "générales": "générales", "generalizations": "gener", "oscillators": "oscil", "": "",
-}
 #: Texts with JSON in them, and the JSON mended.
 BROKEN = (
     ('Sure: {"a": 1, "b": [1, 2,],} done', '{"a": 1, "b": [1, 2]}'), ('```json\n{"a": "x"}\n```', '{"a": "x"}'), ('{"a": "unfinished', '{"a": "unfinished"}'), ('[1, 2, {"b": 3}', '[1, 2, {"b": 3}]'), ('[1, 2, 3', "[1, 2, 3]"),
@@ -73,11 +64,6 @@ def mixed_subjects(spark: SparkSession, sf: str) -> DataFrame:
     return people.mixed_subjects(_signs(spark, sf).withColumn("user_id", F.col("id") % 5))
 
 
-def stemmed_words(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _cycled(spark, sf, list(STEMS))
-    return rows.select("id", F.array_join(stems.stems(F.array("content")), " ").alias("stem"))
-
-
 def repaired_json(spark: SparkSession, sf: str) -> DataFrame:
     rows = _cycled(spark, sf, [raw for raw, _ in BROKEN])
     return rows.select("id", F.coalesce(repair.repaired_json(F.col("content")), F.lit("none")).alias("json"))
@@ -118,7 +104,7 @@ def stream_first_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (personal_signals, signal_channel, personal_profile, mixed_subjects, stemmed_words, repaired_json, artifact_search, promoted_scratch, stream_scratch, stream_first_texts)
+    f.__name__: f for f in (personal_signals, signal_channel, personal_profile, mixed_subjects, repaired_json, artifact_search, promoted_scratch, stream_scratch, stream_first_texts)
 }
 
 
@@ -148,7 +134,6 @@ SQL: dict[str, str] = {
     "personal_profile": f"""WITH {_SIGNS}, r AS (SELECT *, id % 5 AS user_id, CAST(row_number() OVER (PARTITION BY id % 5, signal_type ORDER BY intensity DESC, id, place) AS INTEGER) AS n FROM signs)
         SELECT user_id, {_SECTION} AS section, n AS place, printf('- %s (%s, strength: %.2f)', subject, valence, intensity) AS line FROM r WHERE n <= 5""",
     "mixed_subjects": f"WITH {_SIGNS} SELECT id % 5 AS user_id, lower(replace(subject, ':', '')) AS subject, count(*) AS n FROM signs GROUP BY 1, 2 HAVING count(*) FILTER (valence = 'positive') > 0 AND count(*) FILTER (valence = 'negative') > 0",
-    "stemmed_words": f"SELECT doc_id AS id, stem FROM documents JOIN (VALUES {_values(tuple(enumerate(STEMS.values())))}) v(k, stem) ON doc_id % {len(STEMS)} = k",
     "repaired_json": f"SELECT doc_id AS id, coalesce(json, 'none') AS json FROM documents JOIN (VALUES {_values(tuple((i, j) for i, (_, j) in enumerate(BROKEN)))}) v(k, json) ON doc_id % {len(BROKEN)} = k",
     "artifact_search": "WITH " + BM25.replace("coalesce(content, '')", "coalesce(text, '')").replace("SELECT id, list_filter", "SELECT item_id AS id, list_filter").replace("FROM active", "FROM benchmark")
     + ", r AS (SELECT id // 2 AS id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm25) SELECT r.id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM r JOIN active a ON a.id = r.id GROUP BY r.id ORDER BY score DESC, r.id LIMIT 20",
