@@ -71,3 +71,80 @@ def jaccard(docs, n=5):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def runs(w, least=6, exponent=4):
+    """-> [(start, length, period)] of all runs of the sequence w, by start, then period"""
+    found = {}
+    for q in range(1, len(w) // exponent + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, exponent * q):
+                found.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def collapsed(w, found):
+    drop = [False] * len(w)
+    for s, n, q in found:
+        drop[s + q : s + n] = [True] * (n - q)
+    return b" ".join(x for x, d in zip(w, drop) if not d)
+
+
+def fingerprint(text, n=3):
+    import xxhash
+
+    w = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + n]), 42) for i in range(max(1, len(w) - n + 1))] if w else []
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def hamming_components(prints, most=2):
+    """prints: {id: fingerprint} -> {id: least id that links lead to}"""
+    ids, parent = sorted(prints), {i: i for i in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= most:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def divergence(docs, least=10, top=10):
+    """docs: [(text, lang, source)] -> sorted rows of the audit"""
+    count, df, langs = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int)), defaultdict(set)
+    for text, lang, source in docs:
+        found = re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").encode())
+        found = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), x) for x in found]
+        langs[lang or ""].add(source or "")
+        for t in found:
+            count[lang or "", source or ""][t] += 1
+        for t in set(found):
+            df[lang or ""][t] += 1
+    rows = []
+    for lang, sources in langs.items():
+        kept = sorted(t for t, n in df[lang].items() if n >= least)
+        all_ = {t: sum(count[lang, s][t] for s in sources) for t in kept}
+
+        def p(c):
+            total = sum(c[t] for t in kept) + 2 * len(kept)
+            return {t: 1 + 10**9 * (c[t] + 2) // total for t in kept}
+
+        f = lambda x, y: (x - y) ** 2 // (x + y)
+        shares, whole = {s: p(count[lang, s]) for s in sources}, p(all_)
+        for s in sources:
+            pairs = sorted((-sum(f(shares[s][t], shares[o][t]) for t in kept), o.encode()) for o in sources - {s})
+            rows += [(lang, s, "pair", o.decode(), -v, r) for r, (v, o) in enumerate(pairs, 1)]
+            terms = sorted((-f(shares[s][t], whole[t]), t) for t in kept if count[lang, s][t] and shares[s][t] > whole[t])
+            rows += [(lang, s, "term", t.decode(), -v, r) for r, (v, t) in enumerate(terms[:top], 1)]
+    return sorted(rows)
