@@ -54,27 +54,27 @@ def facts(rows: DataFrame) -> DataFrame:
 
 
 def preferences(rows: DataFrame) -> DataFrame:
-    """(domain, preference, strength, evidence): 1 and 0.5 more each time a preference is met again; the latest row is its evidence."""
+    """(user_id, domain, preference, strength, evidence): 1 and 0.5 more each time a user's preference is met again; the latest row is its evidence."""
     found = []
     for kind, pattern in TASTES:
-        thing = rows.select("id", F.explode(_group(pattern, 2)).alias("thing")).withColumn("thing", F.left(F.trim("thing"), F.lit(200)))
-        found.append(thing.filter((F.length("thing") > 3) & (F.length("thing") < 100)).select("id", rules.domain(F.col("thing")).alias("domain"), F.concat(F.lit(kind + " "), "thing").alias("preference")))
-    named = rows.select("id", F.explode(F.arrays_zip(_group(FAVORITE, 1).alias("a"), _group(FAVORITE, 2).alias("b"))).alias("m"))
-    found.append(named.select("id", F.lower(F.trim("m.a")).alias("domain"), F.concat(F.lit("favorite: "), F.trim("m.b")).alias("preference")))
+        thing = rows.select("id", "user_id", F.explode(_group(pattern, 2)).alias("thing")).withColumn("thing", F.left(F.trim("thing"), F.lit(200)))
+        found.append(thing.filter((F.length("thing") > 3) & (F.length("thing") < 100)).select("id", "user_id", rules.domain(F.col("thing")).alias("domain"), F.concat(F.lit(kind + " "), "thing").alias("preference")))
+    named = rows.select("id", "user_id", F.explode(F.arrays_zip(_group(FAVORITE, 1).alias("a"), _group(FAVORITE, 2).alias("b"))).alias("m"))
+    found.append(named.select("id", "user_id", F.lower(F.trim("m.a")).alias("domain"), F.concat(F.lit("favorite: "), F.trim("m.b")).alias("preference")))
     every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("domain", "preference").agg((1 + 0.5 * (F.count(F.lit(1)) - 1)).alias("strength"), F.max("id").alias("evidence"))
+    return every.groupBy("user_id", "domain", "preference").agg((1 + 0.5 * (F.count(F.lit(1)) - 1)).alias("strength"), F.max("id").alias("evidence"))
 
 
 def states(rows: DataFrame) -> DataFrame:
-    """(key, value, previous_value, updates): what was said last, in the order of ids, and what before it."""
+    """(user_id, key, value, previous_value, updates): what a user said last, in the order of ids, and what before it."""
     found = []
     for key, pattern in STATES:
-        one = rows.select("id", F.posexplode(_group(pattern, 1)).alias("place", "value")).withColumn("value", F.left(F.trim("value"), F.lit(200)))
+        one = rows.select("id", "user_id", F.posexplode(_group(pattern, 1)).alias("place", "value")).withColumn("value", F.left(F.trim("value"), F.lit(200)))
         found.append((one.filter((F.length("value") > 3) & (F.length("value") < 100)) if key == "current_role" else one).withColumn("key", F.lit(key)))
     every = reduce(DataFrame.unionByName, found)
-    newest = Window.partitionBy("key").orderBy(F.desc("id"), F.desc("place"))
-    two = every.withColumn("n", F.row_number().over(newest)).filter("n <= 2").groupBy("key").agg(F.max(F.when(F.col("n") == 1, F.col("value"))).alias("value"), F.max(F.when(F.col("n") == 2, F.col("value"))).alias("previous_value"))
-    return two.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("updates")), "key")
+    newest = Window.partitionBy("user_id", "key").orderBy(F.desc("id"), F.desc("place"))
+    two = every.withColumn("n", F.row_number().over(newest)).filter("n <= 2").groupBy("user_id", "key").agg(F.max(F.when(F.col("n") == 1, F.col("value"))).alias("value"), F.max(F.when(F.col("n") == 2, F.col("value"))).alias("previous_value"))
+    return two.join(every.groupBy("user_id", "key").agg(F.count(F.lit(1)).alias("updates")), ["user_id", "key"])
 
 
 def skips(category: Column, content: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from . import centroids
 from .graph import cut
 
 BITS = 64
@@ -89,45 +90,86 @@ def simhash_classes(prints: DataFrame) -> DataFrame:
     return prints.join(first, "simhash").select("id", "first")
 
 
-def near_simhashes(prints: DataFrame, most: int = 3, blocks: int = 6) -> DataFrame:
-    """(a, b, distance): pairs of classes of fingerprints at most ``most`` bits apart, a < b.
+def near_simhashes(prints: DataFrame, most: int = 3, blocks: int = 6, owner: str | None = None) -> DataFrame:
+    """(a, b, distance): pairs of classes of fingerprints at most ``most`` bits apart, a < b; of one owner each if a column for it is named.
 
     Of ``blocks`` blocks of bits, ``blocks - most`` are equal in such a pair: pairs meet on each choice of so many. Half of the bits make a
     key, so that keys stay rare as rows grow; no pair of one class is made.
     """
-    one = prints.groupBy("simhash").agg(F.min("id").alias("id"))
+    prints = prints.withColumn("owner", F.lit(0) if owner is None else F.col(owner))
+    one = prints.groupBy("owner", "simhash").agg(F.min("id").alias("id"))
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
     block = [F.shiftrightunsigned("simhash", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1) for i in range(blocks)]
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(*[block[i] for i in chosen]).alias("key")) for k, chosen in enumerate(combinations(range(blocks), blocks - most))])
-    keyed = cut(one.select("id", "simhash", F.inline(keys)))
-    other = keyed.select("k", "key", F.col("id").alias("b"), F.col("simhash").alias("other"))
-    pairs = keyed.join(other, ["k", "key"]).filter("id < b").select(F.col("id").alias("a"), "b", hamming(F.col("simhash"), F.col("other")).alias("distance"))
+    keyed = cut(one.select("owner", "id", "simhash", F.inline(keys)))
+    other = keyed.select("owner", "k", "key", F.col("id").alias("b"), F.col("simhash").alias("other"))
+    pairs = keyed.join(other, ["owner", "k", "key"]).filter("id < b").select(F.col("id").alias("a"), "b", hamming(F.col("simhash"), F.col("other")).alias("distance"))
     return pairs.filter(F.col("distance") <= most).distinct()
 
 
-def near_vectors(rows: DataFrame, least: float, bands: int = 24, bits: int | None = None, seed: int = 1, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """(a, b, similarity): pairs of unit vectors of similarity ``least`` or more, a < b; equal vectors are one row, the least id.
+def bands_for(least: float, bits: int, recall: float) -> int:
+    """How many bands of ``bits`` planes find a pair of similarity ``least`` with a chance of ``recall``: a plane has both on one side with 1 - angle / pi."""
+    agree = (1 - np.arccos(min(1.0, max(-1.0, least))) / np.pi) ** bits
+    return 1 if agree >= 1 else int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
 
-    Vectors whose sides of random planes agree in one of the bands meet; what meets is checked exactly. A pair at similarity 0.94 is found
-    with a chance of 0.9998, at 0.85 of 0.975 (bands of 10 planes). ``bits`` grows with the rows, so that a key holds few of them.
-    """
-    one = cut(rows.filter(F.col(vec_col).isNotNull()).groupBy(F.col(vec_col).alias("v")).agg(F.min(id_col).alias("id")))
-    bits = bits or max(10, int(np.ceil(np.log2(max(1, one.count()) / 64))))
-    dims = one.select(F.max(F.size("v"))).first()[0] or 0
+
+def _near_by_planes(one: DataFrame, dims: int, bits: int, bands: int, seed: int) -> DataFrame:
+    """(owner, a, b): rows that are on the same side of all planes of some band."""
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).normal(size=(bands * bits, dims))
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            if not len(flat):
-                continue
-            side = (flat.reshape(batch.num_rows, dims) @ planes.T > 0).reshape(batch.num_rows, bands, bits)
-            key = (side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(key.ravel())], ["id", "band", "key"])
-
-    keyed = cut(one.filter(F.size("v") == dims).select("id", "v").mapInArrow(sides, "id long, band int, key long"))
-    pairs = keyed.select(F.col("id").alias("a"), "band", "key").join(keyed.select(F.col("id").alias("b"), "band", "key"), ["band", "key"]).filter("a < b").select("a", "b").distinct()
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                side = (flat.reshape(part.num_rows, dims) @ planes.T > 0).reshape(part.num_rows, bands, bits)
+                key = (side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+                take = pa.array(np.repeat(np.arange(part.num_rows), bands))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(np.tile(np.arange(bands, dtype=np.int32), part.num_rows)), pa.array(key.ravel()), part.column(2).take(take)], ["id", "band", "key", "owner"])
+
+    keyed = cut(one.select("id", "v", "owner").mapInArrow(sides, one.select("id", F.lit(0).alias("band"), F.lit(0).cast("long").alias("key"), "owner").schema))
+    return keyed.select("owner", F.col("id").alias("a"), "band", "key").join(keyed.select("owner", F.col("id").alias("b"), "band", "key"), ["owner", "band", "key"]).filter("a < b").select("a", "b").distinct()
+
+
+def _near_by_centres(one: DataFrame, dims: int, least: float) -> DataFrame:
+    """(a, b): all pairs that can be near enough, by centres: rows go to their nearest one, and to those not farther than it by more than twice the distance of a pair of similarity ``least``."""
+    n = one.count()
+    sample = np.array([r.v for r in one.orderBy(F.xxhash64("id"), "id").limit(centroids.SAMPLE).select("v").collect()], float).reshape(-1, dims)
+    centres = centroids.fit_centroids(sample, max(1, min(centroids.MOST_LISTS, int(n**0.5))))
+    slack = 2 * float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dims)
+                far = np.sqrt(np.maximum(0, (flat**2).sum(1)[:, None] - 2 * flat @ centres.T + (centres**2).sum(1)[None]))
+                row, centre = np.nonzero(far <= far.min(axis=1)[:, None] + slack)
+                home = far.argmin(axis=1)[row] == centre
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(centre.astype(np.int32)), pa.array(home), part.column(2).take(pa.array(row))], ["id", "centre", "home", "owner"])
+
+    dealt = cut(one.select("id", "v", "owner").mapInArrow(deal, one.select("id", F.lit(0).alias("centre"), F.lit(True).alias("home"), "owner").schema))
+    here, there = dealt.filter("home").select("owner", "centre", F.col("id").alias("x")), dealt.select("owner", "centre", F.col("id").alias("y"))
+    return here.join(there, ["owner", "centre"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_vectors(
+    rows: DataFrame, least: float, recall: float = 0.99, bits: int | None = None, seed: int = 1, id_col: str = "id", vec_col: str = "embedding", owner: str | None = None, exact: bool = False
+) -> DataFrame:
+    """(a, b, similarity): pairs of unit vectors of similarity ``least`` or more, a < b; equal vectors (of one owner, if a column for it is named) are one row, the least id.
+
+    Vectors on the same side of random planes meet, in as many bands as find a pair of similarity ``least`` with a chance of ``recall``; what meets is checked exactly.
+    ``bits``, the planes of a band, grows with the rows, so that a key holds few of them, and the bands grow with it: the chance stays. ``exact`` finds every pair,
+    by distances to fitted centres; where rows lie far apart in many dimensions, that compares most of them.
+    """
+    held = rows.filter(F.col(vec_col).isNotNull()).withColumn("owner", F.lit(0) if owner is None else F.col(owner))
+    one = cut(held.groupBy("owner", F.col(vec_col).alias("v")).agg(F.min(id_col).alias("id")))
+    dims = one.select(F.max(F.size("v"))).first()[0] or 0
+    if not dims:
+        return one.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+    own = one.filter(F.size("v") == dims)
+    bits = bits or max(10, int(np.ceil(np.log2(max(1, one.count()) / 64))))
+    pairs = _near_by_centres(own, dims, least) if exact else _near_by_planes(own, dims, bits, bands_for(least, bits, recall), seed)
     side = lambda x: one.select(F.col("id").alias(x), F.col("v").alias(f"v{x}"))
     checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", scores.dot(F.col("va"), F.col("vb")).alias("similarity"))
     return checked.filter(F.col("similarity") >= least)
@@ -157,3 +199,17 @@ def duplicate_clusters(pairs: DataFrame) -> DataFrame:
     anchors = state.filter("kind = 1").select("id")
     claimed = edges.join(anchors.withColumnRenamed("id", "a"), "a").join(state.filter("kind = 2").select(F.col("id").alias("b")), "b").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("anchor"))
     return anchors.select("id", F.col("id").alias("anchor")).unionByName(claimed)
+
+
+def merged(clusters: DataFrame, rows: DataFrame) -> DataFrame:
+    """(anchor, source_count, archived) of clusters (id, anchor) with claimed rows: the anchor's sources, and of each row that it claims those beyond the first. rows: (id, source_count)."""
+    own = clusters.join(rows, "id")
+    count = F.coalesce("source_count", F.lit(1))
+    total = F.sum(F.when(F.col("id") == F.col("anchor"), count).otherwise(count - 1))
+    return own.groupBy("anchor").agg(total.alias("source_count"), (F.count(F.lit(1)) - 1).alias("archived")).filter("archived > 0")
+
+
+def merge_links(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source_id, target_id, similarity, type): a link from each anchor to each row that it claims."""
+    claimed = clusters.filter("id <> anchor").select(F.col("anchor").alias("a"), F.col("id").alias("b"))
+    return claimed.join(pairs, ["a", "b"]).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "similarity", F.lit("derives").alias("type"))

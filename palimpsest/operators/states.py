@@ -46,11 +46,39 @@ def promoted(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("is_static") & (F.col("access_count") >= 8) & (F.col("source_count") >= 3) & (F.col("fsrs_stability") >= 5))
 
 
+#: What a signal adds to importance; other signals leave it. It stays within 0 and 10 at each signal.
+FEEDBACK = {"helpful": 0.5, "irrelevant": -0.3}
+
+
 def with_feedback(rows: DataFrame, signals: DataFrame) -> DataFrame:
-    """(id, importance): 0.5 more for each helpful signal and 0.3 less for each that isn't, within 1..10; counted before the join."""
-    n = signals.groupBy("id").agg(F.count_if(F.col("signal").isin("helpful", "used")).alias("up"), F.count_if(F.col("signal").isin("irrelevant", "ignored")).alias("down"))
-    moved = F.col("importance") + 0.5 * F.coalesce("up", F.lit(0)) - 0.3 * F.coalesce("down", F.lit(0))
-    return rows.join(n, "id", "left").select("id", F.round(F.least(F.lit(10.0), F.greatest(F.lit(1.0), moved)), 6).alias("importance"))
+    """(id, importance): moved by each signal (id, at, signal) in order of time, and kept within 0 and 10 each time.
+
+    Some signals in order act as one step: add, then keep within two bounds. Tasks fold runs of a row's signals to such steps, a few for
+    each row however many signals it has, and the steps are applied in order.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own, step = ["id", "at", "add", "low", "high"], None, None
+        for batch in batches:
+            out = []
+            for key, at, move in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if key != own:
+                    if own is not None:
+                        out.append((own, *step))
+                    own, step = key, (at, 0.0, float("-inf"), float("inf"))
+                first, add, low, high = step
+                step = (first, add + move, min(10.0, max(0.0, low + move)), min(10.0, max(0.0, high + move)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (own, *step)], names)
+
+    move = F.create_map(*[F.lit(x) for pair in FEEDBACK.items() for x in pair])
+    moves = signals.filter(F.col("signal").isin(*FEEDBACK)).select(F.col("id").cast("long").alias("id"), F.col("at").cast("long").alias("at"), F.element_at(move, F.col("signal")).alias("move")).dropna()
+    steps = moves.repartitionByRange("id", "at", "move").sortWithinPartitions("id", "at", "move").mapInArrow(fold, "id long, at long, add double, low double, high double")
+    each = steps.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "add", "low", "high"))).alias("steps"))
+    moved = F.aggregate("steps", F.col("importance").cast("double"), lambda x, s: F.least(s["high"], F.greatest(s["low"], x + s["add"])))
+    return rows.join(each, "id", "left").select("id", F.round(F.coalesce(moved, F.col("importance").cast("double")), 6).alias("importance"))
 
 
 def reconsolidated(rows: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -74,11 +102,19 @@ def new_versions(rows: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def commanded(rows: DataFrame, commands: DataFrame) -> DataFrame:
-    """Rows after their commands (id, at, command): the last one of each row decides; forget, archive, unarchive, approve, reject. Deleted rows go."""
-    last = commands.groupBy("id").agg(F.max_by("command", F.struct("at", "command")).alias("command"))
-    c = F.coalesce("command", F.lit(""))
-    status = F.when(c == "approve", "approved").when(c == "reject", "rejected").otherwise(F.col("status"))
-    return rows.join(last, "id", "left").filter(c != "delete").select("id", (F.col("is_forgotten") | (c == "forget")).alias("is_forgotten"), ((F.col("is_archived") | (c == "archive")) & (c != "unarchive")).alias("is_archived"), status.alias("status"))
+    """Rows after their commands (id, at, command): forget; archive, unarchive; approve, reject. Each field follows its own last command.
+
+    A rejected row is archived too, whatever came before. A deleted row is gone, and no later command brings it back.
+    """
+    order = F.struct("at", "command")
+    last = lambda *kinds: F.max_by("command", F.when(F.col("command").isin(*kinds), order))
+    per = commands.groupBy("id").agg(
+        F.bool_or(F.col("command") == "forget").alias("forgets"), F.bool_or(F.col("command") == "delete").alias("deletes"), last("archive", "unarchive", "reject").alias("place"), last("approve", "reject").alias("verdict")
+    )
+    status = F.when(F.col("verdict") == "approve", "approved").when(F.col("verdict") == "reject", "rejected").otherwise(F.col("status"))
+    archived = F.when(F.col("place").isin("archive", "reject"), True).when(F.col("place") == "unarchive", False).otherwise(F.col("is_archived"))
+    kept = rows.join(per, "id", "left").filter(~F.coalesce("deletes", F.lit(False)))
+    return kept.select("id", (F.col("is_forgotten") | F.coalesce("forgets", F.lit(False))).alias("is_forgotten"), archived.alias("is_archived"), status.alias("status"))
 
 
 def stored(rows: DataFrame, quotas: DataFrame, most: int) -> DataFrame:

@@ -57,6 +57,62 @@ def levels(edges: DataFrame) -> DataFrame:
         level += 1
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes that nothing points to, and nodes that point to nothing, are taken away until there are none."""
+    while True:
+        starts, ends = edges.select(F.col("u").alias("id")).distinct(), edges.select(F.col("v").alias("id")).distinct()
+        inner = starts.join(ends, "id", "left_semi")
+        left = cut(edges.join(inner.withColumnRenamed("id", "u"), "u", "left_semi").join(inner.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"))
+        if left.count() == edges.count():
+            return left
+        edges = left
+
+
+def _spread(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label): labels that each node takes from those that point to it, until the greatest has gone as far as it can; a round joins each edge once."""
+    while True:
+        came = edges.join(label.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.max("label").alias("came"))
+        step = cut(label.join(came, "id", "left").select("id", F.greatest("label", F.coalesce("came", "label")).alias("label"), F.col("label").alias("old")))
+        label = step.select("id", "label")
+        if step.filter("label <> old").isEmpty():
+            return label
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(id, cycle): the nodes that reach themselves, with the greatest node that they reach and are reached by; nodes between two cycles are in none.
+
+    What no cycle can hold is peeled off at both ends. Rings by themselves are found as components. In what is left the greatest label goes along the edges; the nodes that its owner
+    is reached by within one label are a strong component and leave the graph, and so on.
+    """
+    edges, found = _peeled(_clean(edges)), []
+    while not edges.isEmpty():
+        part = components(edges)
+        side = lambda x: edges.groupBy(F.col(x).alias("id")).agg(F.count(F.lit(1)).alias(f"n_{x}"))  # noqa: E731, B023
+        ring = part.join(side("u"), "id").join(side("v"), "id").groupBy("component").agg(F.max(F.greatest("n_u", "n_v")).alias("most"), F.max("id").alias("cycle")).filter("most = 1").select("component", "cycle")
+        rings = cut(part.join(ring, "component").select("id", "cycle"))
+        found.append(rings)
+        edges = cut(edges.join(rings.select(F.col("id").alias("u")), "u", "left_anti"))
+        if edges.isEmpty():
+            break
+        nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        label = _spread(cut(nodes.withColumn("label", F.col("id"))), edges)
+        name = lambda x: label.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))  # noqa: E731, B023
+        inside = cut(edges.join(name("u"), "u").join(name("v"), "v").filter("label_u = label_v").select("u", "v"))
+        # back along the edges within a label: 1 where its owner can be reached
+        back = _spread(cut(label.select("id", F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label"))), inside.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        strong = cut(label.join(back.filter("label = 1").select("id"), "id").select("id", F.col("label").alias("cycle")))
+        several = strong.groupBy("cycle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cycle")
+        found.append(cut(strong.join(several, "cycle").select("id", "cycle")))
+        gone = strong.select(F.col("id").alias("u"))
+        edges = _peeled(edges.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v"))
+    if not found:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("cycle")).limit(0)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def breadth(level: DataFrame) -> DataFrame:
     """(levels, widest, in_cycles): how deep an order is, how many nodes stand side by side at most, how many have no place."""
     width = level.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
@@ -114,13 +170,13 @@ def bridges(edges: DataFrame) -> DataFrame:
     return found if found is not None else one.select(F.col("u").alias("a"), F.col("v").alias("b")).limit(0)
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, most: int = 64) -> DataFrame:
-    """(place, id): a shortest way along the edges, the least where several are; empty if there is none of at most so many steps."""
+def shortest_path(edges: DataFrame, start: int, end: int) -> DataFrame:
+    """(place, id): a shortest way along the edges, the least where several are; empty if there is none. Ends when no new node is reached."""
     edges = _clean(edges)
     spark = edges.sparkSession
     front = spark.range(1).select(F.lit(start).cast("long").alias("id"), F.array(F.lit(start).cast("long")).alias("path"))
     seen = cut(front.select("id"))
-    for _ in range(most):
+    while True:
         hit = front.filter(F.col("id") == end)
         if not hit.isEmpty():
             return hit.select(F.posexplode("path").alias("place", "id"))

@@ -65,10 +65,20 @@ def duplicate_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return similar.duplicate_clusters(_pairs(spark, sf))
 
 
+def _sourced(spark: SparkSession, sf: str) -> DataFrame:
+    """How many sources each vector's row has."""
+    return _vectors(spark, sf).select("id", (F.col("id") % 4 + 1).alias("source_count"))
+
+
 def merged_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    """What a merge leaves: anchors with the sources of those that they claim, which are archived."""
-    own = similar.duplicate_clusters(_pairs(spark, sf))
-    return own.groupBy("anchor").agg(F.count(F.lit(1)).alias("source_count"), (F.count(F.lit(1)) - 1).alias("archived"))
+    """What a merge leaves: anchors with their sources and those beyond the first of each row that they claim, which are archived."""
+    return similar.merged(similar.duplicate_clusters(_pairs(spark, sf)), _sourced(spark, sf))
+
+
+def merge_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The links from anchors to the rows that they claim."""
+    pairs = _pairs(spark, sf)
+    return similar.merge_links(similar.duplicate_clusters(pairs), pairs).withColumn("similarity", F.round("similarity", 6))
 
 
 def _reviews(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,7 +111,7 @@ def promotions(spark: SparkSession, sf: str) -> DataFrame:
 
 def feedback_importance(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("helpful", "irrelevant", "used", "ignored")])
-    signals = frames.table(spark, sf, "events").select((F.col("event_id") % 97).alias("id"), F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")).alias("signal"))
+    signals = frames.table(spark, sf, "events").select((F.col("event_id") % 97).alias("id"), F.col("event_id").alias("at"), F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")).alias("signal"))
     return states.with_feedback(frames.memories(spark, sf), signals)
 
 
@@ -134,7 +144,7 @@ def causal_chains(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        simhashes, simhash_classes, near_simhashes, similar_pairs, contradiction_pairs, auto_links, duplicate_clusters, merged_duplicates, review_states, review_formulas, decay_estimates, promotions, feedback_importance,
+        simhashes, simhash_classes, near_simhashes, similar_pairs, contradiction_pairs, auto_links, duplicate_clusters, merged_duplicates, merge_links, review_states, review_formulas, decay_estimates, promotions, feedback_importance,
         reconsolidated, edited_versions, commanded_rows, store_verdicts, causal_chains,
     )
 }
@@ -150,6 +160,10 @@ _PRINTS = rf"""t AS (SELECT id, unnest(list_distinct(list_filter(string_split(tr
 _COPIES = f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT a.id + {SHIFT} AS id, list_transform(list_zip(a.v, b.v), lambda p: p[1] + 0.3::DOUBLE * p[2]) AS v FROM v a JOIN v b ON b.id = a.id + 1 WHERE a.id % 3 = 0),
     every AS MATERIALIZED (SELECT * FROM v UNION ALL SELECT id, list_transform(v, lambda y: y / sqrt(list_inner_product(v, v))) FROM x),
     pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) AS s FROM every a JOIN every b ON a.id < b.id WHERE list_inner_product(a.v, b.v) >= 0.9)"""
+#: Rows in order of ids: one is an anchor if none of its smaller neighbours is, and else goes to the least of these anchors.
+_GREEDY = """linked AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k, list(below) FILTER (below IS NOT NULL) AS below FROM (SELECT b AS id, a AS below FROM pairs UNION ALL SELECT a, NULL FROM pairs) GROUP BY id),
+    walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS anchors UNION ALL SELECT l.k, CASE WHEN list_has_any(coalesce(below, []::BIGINT[]), anchors) THEN anchors ELSE list_append(anchors, l.id) END FROM walk JOIN linked l ON l.k = walk.k + 1),
+    chosen AS (SELECT anchors FROM walk ORDER BY k DESC LIMIT 1), claimed AS (SELECT id, CASE WHEN list_contains(anchors, id) THEN id ELSE list_min(list_intersect(below, anchors)) END AS anchor FROM linked, chosen)"""
 _W = [f"{w!r}::DOUBLE" for w in FSRS]
 _S0 = f"greatest(0.1::DOUBLE, CASE g WHEN 1 THEN {_W[0]} WHEN 2 THEN {_W[1]} WHEN 3 THEN {_W[2]} ELSE {_W[3]} END)"
 _D0 = f"greatest(1.0::DOUBLE, least(10.0::DOUBLE, {_W[4]} - exp({_W[5]} * (g - 1)) + 1))"
@@ -169,8 +183,9 @@ SQL: dict[str, str] = {
     "contradiction_pairs": f"WITH {_COPIES} SELECT a, b FROM pairs WHERE s < 0.955",
     "auto_links": f"""WITH {_COPIES}, l AS (SELECT a AS source_id, b AS target_id, s FROM pairs UNION ALL SELECT b, a, s FROM pairs)
         SELECT source_id, target_id, round(s, 6) AS similarity FROM l QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY s DESC, target_id) <= 6""",
-    "duplicate_clusters": f"WITH {_COPIES}, c AS (SELECT b AS id, min(a) AS anchor FROM pairs GROUP BY 1) SELECT id, anchor FROM c UNION SELECT a, a FROM pairs WHERE a NOT IN (SELECT id FROM c)",
-    "merged_duplicates": f"WITH {_COPIES}, c AS (SELECT b AS id, min(a) AS anchor FROM pairs GROUP BY 1) SELECT anchor, count(*) + 1 AS source_count, count(*) AS archived FROM c GROUP BY 1",
+    "duplicate_clusters": f"WITH RECURSIVE {_COPIES}, {_GREEDY} SELECT id, anchor FROM claimed",
+    "merged_duplicates": f"WITH RECURSIVE {_COPIES}, {_GREEDY} SELECT anchor, CAST(anchor % 4 + 1 + sum(CASE WHEN id <> anchor THEN id % 4 ELSE 0 END) AS BIGINT) AS source_count, count(*) - 1 AS archived FROM claimed GROUP BY anchor HAVING count(*) > 1",
+    "merge_links": f"WITH RECURSIVE {_COPIES}, {_GREEDY} SELECT anchor AS source_id, id AS target_id, round(s, 6) AS similarity, 'derives' AS type FROM claimed JOIN pairs ON a = anchor AND b = id",
     "review_states": f"""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id AS id, epoch_us(ts) AS t, {GRADES}[(event_id % 7 + 1)::INT] AS g, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), {GRADES}[(event_id % 7 + 1)::INT]) AS k FROM events),
         w AS (SELECT id, k, t, {_S0} AS s, {_D0} AS d, 1.0::DOUBLE AS storage, CASE WHEN g <= 2 THEN 1 ELSE 2 END AS learning, 1 AS reps, CASE WHEN g = 1 THEN 1 ELSE 0 END AS lapses FROM o WHERE k = 1
         UNION ALL SELECT id, k, t, {_K.format(f'CASE WHEN days < 1 THEN {_SAME} WHEN g = 1 THEN {_LAPSE} ELSE {_RECALL} END')}, {_K.format(_D1)}, {_K.format('least(storage + CASE WHEN days >= 1 AND g = 1 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END, 10.0)')},
@@ -183,15 +198,19 @@ SQL: dict[str, str] = {
     "decay_estimates": f"""WITH {MEMORIES}, k AS (SELECT id, importance, is_static, created_at, CASE WHEN id % 2 = 0 THEN fsrs_stability ELSE {_W[2]} * (1 + least(access_count * 0.3::DOUBLE, 3.0::DOUBLE) + least((id % 4) * 0.2::DOUBLE, 1.0::DOUBLE)) END AS fsrs_stability FROM memories)
         SELECT id, round(CASE WHEN is_static THEN importance::DOUBLE ELSE importance * ({_R.format(AS_OF)}) END, 6) AS decay FROM k""",
     "promotions": f"WITH {MEMORIES} SELECT id FROM active WHERE NOT is_static AND access_count >= 8 AND id % 4 + 1 >= 3 AND fsrs_stability >= 5",
-    "feedback_importance": f"""WITH {MEMORIES}, n AS (SELECT event_id % 97 AS id, count(*) FILTER (event_id % 4 IN (0, 2)) AS up, count(*) FILTER (event_id % 4 IN (1, 3)) AS down FROM events GROUP BY 1)
-        SELECT id, round(least(10.0::DOUBLE, greatest(1.0::DOUBLE, importance + 0.5::DOUBLE * coalesce(up, 0) - 0.3::DOUBLE * coalesce(down, 0))), 6) AS importance FROM memories LEFT JOIN n USING (id)""",
+    "feedback_importance": f"""WITH RECURSIVE {MEMORIES}, o AS MATERIALIZED (SELECT event_id % 97 AS id, event_id % 4 AS g, row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id) AS k FROM events WHERE event_id % 4 IN (0, 1)),
+        w AS (SELECT id, 0 AS k, importance::DOUBLE AS i FROM memories UNION ALL
+            SELECT w.id, o.k, CASE WHEN g = 0 THEN least(i + 0.5::DOUBLE, 10.0::DOUBLE) ELSE greatest(i - 0.3::DOUBLE, 0.0::DOUBLE) END FROM w JOIN o ON o.id = w.id AND o.k = w.k + 1)
+        SELECT id, round(arg_max(i, k), 6) AS importance FROM w GROUP BY id""",
     "reconsolidated": f"""WITH {MEMORIES}, n AS (SELECT id * 2 + 1 AS id, count(*) AS n FROM memories WHERE id % 3 IN (1, 2) GROUP BY 1), k AS (SELECT m.id, importance, coalesce(n, 0) AS n, CASE WHEN m.id % 7 + m.id % 5 > 3 THEN (m.id % 7) / (m.id % 7 + m.id % 5)::DOUBLE END AS rate FROM memories m LEFT JOIN n ON n.id = m.id),
         b AS (SELECT id, rate, greatest(1.0::DOUBLE, importance - 2.0::DOUBLE * n) AS i, CASE WHEN n > 0 THEN greatest(0.1::DOUBLE, pow(0.5::DOUBLE, n)) ELSE 1.0::DOUBLE END AS c FROM k)
         SELECT id, CASE WHEN rate > 0.7 THEN least(10.0::DOUBLE, i + 1) WHEN rate < 0.3 THEN greatest(1.0::DOUBLE, i - 1) ELSE i END AS importance, round(CASE WHEN rate > 0.7 THEN least(1.0::DOUBLE, c + 0.1::DOUBLE) ELSE c END, 6) AS confidence FROM b""",
     "edited_versions": f"""WITH {MEMORIES}, e AS (SELECT event_id % 211 AS id, event_id, row_number() OVER (PARTITION BY event_id % 211 ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_id % 211) AS n FROM events WHERE event_type = 'click')
         SELECT id, version, id NOT IN (SELECT id FROM e) AS is_latest, left(content, 20) AS content FROM memories UNION ALL SELECT id, version + k, k = n, 'edit ' || event_id FROM e JOIN memories USING (id)""",
-    "commanded_rows": f"""WITH {MEMORIES}, c AS (SELECT event_id % 301 AS id, arg_max(['forget', 'archive', 'unarchive', 'approve', 'reject', 'delete'][(event_id * 7 % 6 + 1)::INT], event_id) AS c FROM events GROUP BY 1), m AS (SELECT *, coalesce(c, '') AS k FROM memories LEFT JOIN c USING (id))
-        SELECT id, is_forgotten OR k = 'forget' AS is_forgotten, (is_archived OR k = 'archive') AND k <> 'unarchive' AS is_archived, CASE k WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS status FROM m WHERE k <> 'delete'""",
+    "commanded_rows": f"""WITH {MEMORIES}, l AS (SELECT event_id % 301 AS id, event_id AS k, ['forget', 'archive', 'unarchive', 'approve', 'reject', 'delete'][(event_id * 7 % 6 + 1)::INT] AS c FROM events),
+        c AS (SELECT id, bool_or(c = 'forget') AS forgets, bool_or(c = 'delete') AS deletes, arg_max(c, k) FILTER (c IN ('archive', 'unarchive', 'reject')) AS place, arg_max(c, k) FILTER (c IN ('approve', 'reject')) AS verdict FROM l GROUP BY 1)
+        SELECT id, is_forgotten OR coalesce(forgets, false) AS is_forgotten, CASE WHEN place IN ('archive', 'reject') THEN true WHEN place = 'unarchive' THEN false ELSE is_archived END AS is_archived,
+            CASE verdict WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS status FROM memories LEFT JOIN c USING (id) WHERE NOT coalesce(deletes, false)""",
     "store_verdicts": f"""WITH {MEMORIES}, v AS (SELECT id, user_id, trim(coalesce(content, '')) AS t, CASE WHEN trim(coalesce(content, '')) = '' THEN 'empty' WHEN length(content) > 10000 THEN 'too_large' END AS verdict FROM memories),
         f AS (SELECT id, user_id, row_number() OVER (PARTITION BY user_id, t ORDER BY id) AS copy FROM v WHERE verdict IS NULL), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS k FROM f WHERE copy = 1)
         SELECT verdict, count(*) AS n FROM v WHERE verdict IS NOT NULL GROUP BY 1 UNION ALL SELECT 'repeat', count(*) FILTER (copy > 1) FROM f

@@ -41,7 +41,7 @@ def graph_breadth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cycle_members(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.levels(chains(spark, sf)).filter("level is null").select("id")
+    return structure.cycles(chains(spark, sf)).select("id")
 
 
 def graph_topologies(spark: SparkSession, sf: str) -> DataFrame:

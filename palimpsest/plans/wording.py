@@ -54,12 +54,16 @@ def rows_by_emotion(spark: SparkSession, sf: str) -> DataFrame:
     return own.orderBy(F.desc(F.abs("valence")), F.desc("id")).limit(20).select("id", "valence")
 
 
+def _owned(spark: SparkSession, sf: str) -> DataFrame:
+    return phrased(spark, sf).withColumn("user_id", F.col("id") % 3 + 1)
+
+
 def preferences(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.preferences(phrased(spark, sf))
+    return extraction.preferences(_owned(spark, sf))
 
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.states(phrased(spark, sf))
+    return extraction.states(_owned(spark, sf))
 
 
 def extracted_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +214,7 @@ SQL: dict[str, str] = {
     "extracted_facts": f"""SELECT doc_id AS id, subject, verb, object, quantity, unit FROM documents JOIN (VALUES (0, 'user', 'bought', 'green lamps', 3.0::DOUBLE, NULL), (1, 'user', 'spent', 'a new laptop', 1200.5, 'dollars'), (10, 'user', 'did', 'trails', 2, 'hours'),
         (10, 'user', 'ran', NULL, 5, 'miles'), (10, 'user', 'walked', NULL, 2, 'hours'), (12, 'assistant', 'recommended', 'a faster index', NULL, NULL), (14, 'user', 'baked', 'cake', 1, NULL), (14, 'user', 'earned', 'sales', 50, 'dollars'),
         (15, 'user', 'did', 'ago', 3, 'weeks'), (25, 'user', 'did', 'ago', 10, 'days')) f(k, subject, verb, object, quantity, unit) ON doc_id % {len(PHRASES)} = k""",
-    "preferences": f"""SELECT domain, preference, 1 + 0.5::DOUBLE * (count(*) - 1) AS strength, max(doc_id) AS evidence FROM documents JOIN (VALUES (0, 'gardening', 'likes gardening'), (3, 'general', 'dislikes long meetings'), (3, 'general', 'dislikes them'),
-        (11, 'color', 'favorite: blue')) f(k, domain, preference) ON doc_id % {len(PHRASES)} = k GROUP BY 1, 2""",
-    "states": f"""SELECT key, any_value(value) AS value, CASE WHEN count(*) > 1 THEN any_value(value) END AS previous_value, count(*) AS updates FROM documents JOIN (VALUES (1, 'current_role', 'baker'), (3, 'current_location', 'Lisbon')) f(k, key, value) ON doc_id % {len(PHRASES)} = k GROUP BY 1""",
+    "preferences": f"""SELECT doc_id % 3 + 1 AS user_id, domain, preference, 1 + 0.5::DOUBLE * (count(*) - 1) AS strength, max(doc_id) AS evidence FROM documents JOIN (VALUES (0, 'gardening', 'likes gardening'), (3, 'general', 'dislikes long meetings'), (3, 'general', 'dislikes them'),
+        (11, 'color', 'favorite: blue')) f(k, domain, preference) ON doc_id % {len(PHRASES)} = k GROUP BY 1, 2, 3""",
+    "states": f"""SELECT doc_id % 3 + 1 AS user_id, key, any_value(value) AS value, CASE WHEN count(*) > 1 THEN any_value(value) END AS previous_value, count(*) AS updates FROM documents JOIN (VALUES (1, 'current_role', 'baker'), (3, 'current_location', 'Lisbon')) f(k, key, value) ON doc_id % {len(PHRASES)} = k GROUP BY 1, 2""",
 }
