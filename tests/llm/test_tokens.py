@@ -136,3 +136,23 @@ def test_topk_odd_rows(spark):
     got = sorted(map(tuple, out.filter("query_id <> 5").collect()))
     assert got == [r for r in plain_topk(plain, asked.values(), 7) if r[0] != 5]
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    """Order is exact for all finite components; scores beyond 64 bits are the nearest long."""
+    import math
+    from fractions import Fraction
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(120):
+        kind = rng.random()
+        values = [rng.uniform(-1, 1) for _ in range(5)] if kind < 0.6 else rng.choices([1e30, -1e30, 2.0**45, 1.0, -3.5, 1e-3] if kind < 0.8 else [1.7e308, -1e300, 5e10], k=5)
+        rows.append((i, values))
+    whole = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 120, 7):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:10]
+        want += [(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(vectors, vectors.filter("vec_id % 7 = 0")).collect())) == sorted(want)
