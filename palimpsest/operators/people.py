@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, signals, text
-from . import retrieval
+from . import retrieval, similar
+from .graph import cut
 
 #: The order of a profile's sections.
 SECTIONS = {"value": "CORE VALUES", "preference": "PREFERENCES", "decision": "DECISIONS", "emotion": "EMOTIONS", "identity": "IDENTITY", "motivation": "MOTIVATIONS"}
@@ -54,3 +55,55 @@ def owned(hits: DataFrame, owners: DataFrame, rows: DataFrame, k: int) -> DataFr
 def promoted(entries: DataFrame, key: Column, agent: Column, value: str = "value", category: str = "general", importance: int = 5) -> DataFrame:
     """(content, category, source, importance): a row to store for each scratch entry, 'key: value', nothing for a null value."""
     return entries.select(F.concat(key, F.lit(": "), F.coalesce(F.col(value).cast("string"), F.lit(""))).alias("content"), F.lit(category).alias("category"), agent.alias("source"), F.lit(importance).alias("importance"))
+
+
+def theme_leaders(subjects: DataFrame) -> DataFrame:
+    """(user_id, at, leader): of each user's subjects (user_id, at, subject) in order of ``at``, the first earlier leader that shares over half of both's words; one without is a leader.
+
+    Equal sets of words go the same way, so each set is taken once, where it first stands. Sets that can share over half have one of the rarer halves of their words in common:
+    these halves are joined, and what meets is compared. Leaders are then decided in rounds, all users and all that wait for nothing at once. A subject without words leads
+    itself.
+    """
+    words = subjects.select("user_id", "at", F.array_sort(F.array_distinct(text.tokens(F.col("subject")))).alias("words"))
+    worded = cut(words.filter(F.size("words") > 0))
+    sets = cut(worded.groupBy("user_id", "words").agg(F.min("at").alias("at")))
+    often = sets.select("user_id", F.explode("words").alias("word")).groupBy("user_id", "word").agg(F.count(F.lit(1)).alias("often"))
+    ranked = sets.select("user_id", "at", F.size("words").alias("size"), F.explode("words").alias("word")).join(often, ["user_id", "word"])
+    rare = ranked.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "at").orderBy("often", "word"))).filter("2 * place <= size + 1")
+    half = cut(rare.select("user_id", "at", "size", "word"))
+    other = half.select("user_id", "word", F.col("at").alias("later"), F.col("size").alias("size_later"))
+    met = half.join(other, ["user_id", "word"]).filter("at < later and 2 * size > size_later and 2 * size_later > size").select("user_id", "at", "later").distinct()
+    side = lambda x, w: sets.select("user_id", F.col("at").alias(x), F.col("words").alias(w))
+    both = met.join(side("at", "x"), ["user_id", "at"]).join(side("later", "y"), ["user_id", "later"]).filter(text.jaccard(F.col("x"), F.col("y")) > 0.5)
+    node = lambda x: F.struct("user_id", F.col(x).alias("at"))
+    claimed = similar.duplicate_clusters(both.select(node("at").alias("a"), node("later").alias("b"))).select("id.user_id", "id.at", F.col("anchor.at").alias("leader"))
+    led = sets.join(claimed, ["user_id", "at"], "left").select("user_id", "words", F.coalesce("leader", "at").alias("leader"))
+    alone = words.filter(F.size("words") == 0).select("user_id", "at", F.col("at").alias("leader"))
+    return worded.join(led, ["user_id", "words"]).select("user_id", "at", "leader").unionByName(alone)
+
+
+def themes(found: DataFrame) -> DataFrame:
+    """(user_id, leader, label, n, intensity, types, valences, mixed) of signs (user_id, at, subject, signal_type, valence, intensity): those of one leader are a theme, under the leader's subject.
+
+    Types and valences come in the order in which they first stand; mixed: some sign is for it and some against.
+    """
+    own = cut(found.join(theme_leaders(found.select("user_id", "at", "subject")), ["user_id", "at"]))
+    counts = own.groupBy("user_id", "leader").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("intensity").alias("intensity"), F.min_by("subject", "at").alias("label"), (F.bool_or(F.col("valence") == "positive") & F.bool_or(F.col("valence") == "negative")).alias("mixed")
+    )
+
+    def listed(column: str, name: str) -> DataFrame:
+        first = own.groupBy("user_id", "leader", column).agg(F.min("at").alias("first"))
+        return first.groupBy("user_id", "leader").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", column))), lambda x: x[column]).alias(name))
+
+    return counts.join(listed("signal_type", "types"), ["user_id", "leader"]).join(listed("valence", "valences"), ["user_id", "leader"])
+
+
+def theme_lines(theme: DataFrame, most: int = 8) -> DataFrame:
+    """(user_id, place, line): of each user the themes of most signs, the earlier first among equals, as sentences."""
+    by = Window.partitionBy("user_id").orderBy(F.desc("n"), "leader")
+    top = theme.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most)
+    strength = F.format_string("%.2f", "intensity")
+    strong = F.concat(F.lit('- "'), "label", F.lit('" is a strong theme ('), F.col("n"), F.lit(" signals, avg intensity: "), strength, F.lit("). Types: "), F.array_join("types", ", "), F.lit(". Valences: "), F.array_join("valences", ", "), F.lit("."))
+    weak = F.concat(F.lit('- "'), "label", F.lit('" ('), F.col("n"), F.when(F.col("n") > 1, " signals").otherwise(" signal"), F.lit(", intensity: "), strength, F.lit(", "), F.array_join("valences", "/"), F.lit(")"))
+    return top.select("user_id", "place", F.when(F.col("n") >= 3, strong).otherwise(weak).alias("line"))
