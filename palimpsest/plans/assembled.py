@@ -1,13 +1,14 @@
-"""Registered queries on themes of signs, with their SQL."""
+"""Registered queries on themes of signs, with their SQL, and on assembled contexts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import people
+from ..functions import scores
+from ..operators import assembly, people, relational
 from ..sources import frames
 
 
@@ -26,7 +27,22 @@ def profile_themes(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", "leader", "label", "n", F.round("intensity", 6).alias("intensity"), F.array_join("types", ",").alias("types"), F.array_join("valences", ",").alias("valences"), "mixed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (profile_themes,)}
+AS_OF, HITS = "2024-02-01 00:00:00", 50
+
+
+def assembled_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """A context of 2000 tokens for each user, asked by the vector of the row that bears the user's number; tests hold the choice against a plain version."""
+    vectors = frames.vectors(spark, sf).select("id", F.col("embedding").cast("array<double>").alias("vector"))
+    rows = frames.memories(spark, sf).join(vectors, "id", "left")
+    requests = rows.select("user_id").distinct().join(vectors.withColumnRenamed("id", "user_id"), "user_id").select(F.col("user_id").alias("request"), "user_id", F.col("vector").alias("q"))
+    scored = requests.join(frames.active(rows).filter("vector is not null and not is_static").select("user_id", "id", "vector"), "user_id").select("request", "id", scores.cosine(F.col("q"), F.col("vector")).alias("score"))
+    hits = scored.withColumn("n", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= HITS).drop("n")
+    links = relational.document_links(rows).withColumn("similarity", (F.col("source_id") % 50 + 50) / 100.0)
+    found = assembly.candidates(requests, hits, rows, links, AS_OF, 2000)
+    return assembly.assembled(found, 2000, relevant=0.1)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (profile_themes, assembled_contexts)}
 
 _KINDS = "[" + ", ".join(f"'{k}'" for k in people.SECTIONS) + "]"
 
