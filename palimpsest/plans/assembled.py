@@ -1,4 +1,4 @@
-"""Registered queries on themes of signs, with their SQL, and on assembled contexts."""
+"""Registered queries on themes of signs, conversations within a length, with their SQL, and on assembled contexts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import assembly, people, relational
+from ..operators import assembly, conversations, people, relational
 from ..sources import frames
 
 
@@ -42,11 +42,37 @@ def assembled_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return assembly.assembled(found, 2000, relevant=0.1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (profile_themes, assembled_contexts)}
+EXCERPT = 600
+
+
+def conversation_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of all conversations, cut to some 600 characters each conversation."""
+    return conversations.within_length(frames.table(spark, sf, "conversations"), EXCERPT)
+
+
+def conversation_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, as texts."""
+    return conversations.joined(conversation_excerpts(spark, sf))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (profile_themes, assembled_contexts, conversation_excerpts, conversation_logs)}
 
 _KINDS = "[" + ", ".join(f"'{k}'" for k in people.SECTIONS) + "]"
 
+_EXCERPTS = f"""WITH RECURSIVE c AS (SELECT conv_id AS conv, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS content, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS turns,
+        sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id) AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    p AS MATERIALIZED (SELECT *, CASE WHEN role = 'user' AND n = 1 THEN 0 WHEN role = 'assistant' AND n >= turns - 1 THEN 1 WHEN role = 'tool' THEN 5 WHEN role = 'assistant' THEN 4 WHEN role = 'system' THEN 6 ELSE 3 END AS priority FROM c),
+    o AS MATERIALIZED (SELECT conv, turn, length(content)::BIGINT AS length, (total - {EXCERPT})::BIGINT AS over, row_number() OVER (PARTITION BY conv ORDER BY priority DESC, turn) AS k FROM p WHERE total > {EXCERPT} AND priority > 0),
+    walk AS (SELECT DISTINCT conv, 0::BIGINT AS k, NULL::BIGINT AS turn, 0::BIGINT AS kept, over AS excess FROM o
+        UNION ALL SELECT conv, k, turn, CASE WHEN length > target THEN target // 2 END, CASE WHEN length > target THEN excess - length + 2 * (target // 2) + 21 ELSE excess END FROM (
+            SELECT o.conv, o.k, o.turn, o.length, excess, greatest(200, o.length - excess) AS target FROM walk JOIN o ON o.conv = walk.conv AND o.k = walk.k + 1)),
+    lines AS (SELECT p.conv, p.turn, CAST(priority AS INTEGER) AS priority, kept IS NOT NULL AS truncated, '[' || upper(role) || ']' || CASE WHEN kept IS NOT NULL THEN ' (truncated)' ELSE '' END || chr(10)
+        || CASE WHEN kept IS NOT NULL THEN left(content, kept) || chr(10) || '... [truncated] ...' || chr(10) || right(content, kept) ELSE content END AS line
+        FROM p LEFT JOIN (SELECT * FROM walk WHERE k > 0) USING (conv, turn))"""
+
 SQL: dict[str, str] = {
+    "conversation_excerpts": f"{_EXCERPTS} SELECT * FROM lines",
+    "conversation_logs": f"{_EXCERPTS} SELECT conv, CAST(floor(turn / 1000) AS BIGINT) AS part, string_agg(line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS text FROM lines GROUP BY ALL",
     "profile_themes": rf"""WITH RECURSIVE s AS MATERIALIZED (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS k, list_distinct(list_filter(string_split(regexp_replace(lower(subject), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS w
         FROM (SELECT p_partkey % 5 AS user_id, p_partkey AS pos, concat_ws(' ', p_name, p_type, p_brand) AS subject, {_KINDS}[(p_size % 6 + 1)::INT] AS signal_type,
