@@ -11,7 +11,7 @@ from ..functions import scores, text
 from ..operators import analytics, graph, memory, retrieval
 from ..sources import frames, parsers
 from ..streaming import usage
-from . import assembled, evolving, fields, flowing, indexed, ingest, more, relational, searching, structural, voices, wording
+from . import assembled, evolving, fields, flowing, indexed, ingest, more, relational, revised, searching, structural, voices, wording
 from .sql import SQL
 
 AS_OF = "2024-02-01 00:00:00"
@@ -146,7 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-PARTS = (more, relational, wording, evolving, searching, structural, ingest, fields, voices, indexed, flowing, assembled)
+PARTS = (more, relational, wording, evolving, searching, structural, ingest, fields, voices, indexed, flowing, assembled, revised)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
