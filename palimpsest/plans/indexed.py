@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stems
-from ..operators import centroids, graph, postings
+from ..operators import centroids, graph, hybrid, postings, relational
 from ..sources import frames
-from .sql import MEMORIES
+from .sql import MEMORIES, _R
 
+AS_OF, USER, LIMIT = "2025-06-01 00:00:00", 2, 10
+WHY = "Why does the orantion thatin the ononst?"
 QUERY, RARE, K = "Orantions, THATIN and the règles of ononst!", "orantion hehely reings", 20
 
 _KNOWN: dict[tuple[str, str], postings.TextIndex] = {}
@@ -37,6 +39,22 @@ def vectors_of(spark: SparkSession, sf: str) -> centroids.VectorIndex:
     return _VECTORS[key]
 
 
+def rows_with_vectors_of(spark: SparkSession, sf: str) -> centroids.VectorIndex:
+    """The vector index over memories, with what a search filters by."""
+    key = (spark.sparkContext.applicationId, sf, "memories")
+    if key not in _VECTORS:
+        rows = frames.memories(spark, sf).join(frames.vectors(spark, sf).select("id", "embedding"), "id")
+        _VECTORS[key] = centroids.VectorIndex(spark, f"{graph.shared_dir(spark)}/vectors-{uuid.uuid4().hex}").build(rows, keep=["user_id", "is_forgotten", "is_archived", "is_latest"])
+    return _VECTORS[key]
+
+
+def full_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A question of one user over words and vectors, with its type's strategy, boosts, expansion, links and versions."""
+    rows = frames.memories(spark, sf).withColumn("pagerank", (F.col("id") % 8) / 8.0)
+    links = relational.document_links(rows).withColumn("similarity", (F.col("source_id") % 50 + 50) / 100.0)
+    return hybrid.search(index_of(spark, sf), rows_with_vectors_of(spark, sf), rows, links, WHY, _query_vector(spark, sf, 1), USER, LIMIT, AS_OF)
+
+
 def _query_vector(spark: SparkSession, sf: str, row: int) -> list[float]:
     return [float(x) for x in frames.vectors(spark, sf).filter(F.col("id") == row).first().embedding]
 
@@ -112,20 +130,39 @@ def _counted(query: str) -> str:
         counts AS (SELECT id, term, count(*) AS tf FROM texts JOIN stemmed USING (word) GROUP BY ALL)"""
 
 
-def _search(query: str, where: str = "") -> str:
+def _search(query: str, where: str = "", most: int = 20) -> str:
     return f"""{_counted(query)}, sizes AS (SELECT id, count(*) AS length FROM texts GROUP BY id),
         stats AS (SELECT count(*) AS n, (SELECT count(*) FROM texts) / count(*)::DOUBLE AS mean FROM memories),
         dfs AS (SELECT term, count(*) AS df FROM counts WHERE term IN (SELECT term FROM asked JOIN stemmed USING (word)) GROUP BY term)
         SELECT id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
-        FROM counts JOIN dfs USING (term) JOIN sizes USING (id), stats {where} GROUP BY id ORDER BY score DESC, id LIMIT 20"""
+        FROM counts JOIN dfs USING (term) JOIN sizes USING (id), stats {where} GROUP BY id ORDER BY score DESC, id LIMIT {most}"""
 
 
 _NEAREST = """SELECT e.vec_id AS id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {0}) q WHERE len(e.embedding) = len(q.embedding) {1} ORDER BY score DESC, id LIMIT 20"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (index_search, index_tenant_search, index_terms, stemmed_words, vector_index_search, vector_index_category, vector_index_many)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (index_search, index_tenant_search, index_terms, stemmed_words, vector_index_search, vector_index_category, vector_index_many, full_search)}
+
+#: By hand for a reasoning question: floor 0.1, 40 candidates, 50 word hits, 200 vectors, 5 seeds with 8 links each, 2 rows of a second hop, weights times 1.2.
+_FULL = f"""WITH words AS ({_search(WHY, f"WHERE id IN (SELECT id FROM active WHERE user_id = {USER})", 50)}), {MEMORIES},
+    near AS (SELECT * FROM (SELECT e.vec_id AS id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN active a ON a.id = e.vec_id AND a.user_id = {USER}, (SELECT embedding FROM embeddings WHERE vec_id = 1) q
+        WHERE len(e.embedding) = len(q.embedding) ORDER BY score DESC, id LIMIT 200) WHERE score > 0.1),
+    ranks AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM words),
+    fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM ranks GROUP BY id),
+    own AS MATERIALIZED (SELECT *, id % 4 + 1 AS source_count FROM memories WHERE user_id = {USER}),
+    boosted AS (SELECT id, f.score * CASE WHEN is_static THEN 1.0::DOUBLE ELSE 0.3::DOUBLE + 0.7::DOUBLE * ({_R.format(AS_OF)}) END * (1 + least(source_count / 10.0::DOUBLE, 1.0::DOUBLE) * 0.05::DOUBLE) * CASE WHEN is_static THEN 1.03::DOUBLE ELSE 1.0::DOUBLE END
+        * pow(1 + 0.15::DOUBLE * (id % 8) / 8.0::DOUBLE, 2) * CASE WHEN NOT is_latest AND regexp_matches(lower(coalesce(content, '')), 'no longer|changed to|used to|instead now|but now|previously|was replaced|switched from') THEN 0.65::DOUBLE ELSE 1.0::DOUBLE END AS score FROM fused f JOIN own USING (id)),
+    links AS MATERIALIZED (SELECT s.id AS source_id, t.id AS target_id, (s.id % 50 + 50) / 100.0::DOUBLE AS similarity, [1.0, 1.3, 1.5][(s.id % 3 + 1)::INT]::DOUBLE AS weight, s.is_forgotten AS gone FROM own s JOIN own t ON t.id = s.id * 2 + 1 WHERE NOT t.is_forgotten),
+    strength AS (SELECT source_id, target_id, similarity * weight * 1.2::DOUBLE AS raw FROM links WHERE NOT gone), seeds AS (SELECT id FROM boosted ORDER BY score DESC, id LIMIT 5),
+    one AS (SELECT target_id AS id, raw FROM strength WHERE source_id IN (SELECT id FROM seeds)), new AS (SELECT id, max(raw) AS raw FROM one WHERE id NOT IN (SELECT id FROM boosted) GROUP BY 1 ORDER BY raw DESC, id LIMIT 2),
+    two AS (SELECT target_id AS id, raw * 0.5::DOUBLE AS raw FROM strength WHERE source_id IN (SELECT id FROM new)), hits AS (SELECT id, row_number() OVER (ORDER BY raw DESC, id) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two)),
+    g AS (SELECT id, sum(1.0::DOUBLE / (60 + n)) AS gain FROM hits GROUP BY 1),
+    best AS (SELECT coalesce(b.id, g.id) AS id, round(coalesce(score, 0) + coalesce(gain, 0), 7) AS score FROM boosted b FULL JOIN g ON g.id = b.id ORDER BY score DESC, id LIMIT {LIMIT}),
+    l AS (SELECT source_id AS id, string_agg(target_id || ':' || similarity, '|' ORDER BY similarity DESC, target_id) AS links FROM links GROUP BY 1), c AS (SELECT root_memory_id, string_agg(version || ':' || id, '|' ORDER BY version, id) AS chain FROM own GROUP BY 1)
+    SELECT b.id, b.score, category, importance, version, coalesce(links, '') AS links, coalesce(chain, '') AS chain FROM best b JOIN own o ON o.id = b.id LEFT JOIN l ON l.id = b.id LEFT JOIN c ON c.root_memory_id = o.root_memory_id"""
 
 SQL: dict[str, str] = {
+    "full_search": _FULL,
     "vector_index_search": _NEAREST.format(7, ""),
     "vector_index_category": _NEAREST.format(11, "AND e.label = 3"),
     "index_search": _search(QUERY),
