@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ._text import as_long, mix, ngram_hash
 from .language import held_out, sample_ids
 
+#: Labelled rows of each label that are learned from: they bound the words that may become terms.
 SAMPLE_PER_LABEL = 2000
-LEXICON = 400
 STEMS = (4, 5, 6, 7)
 WINDOW = 12
 THRESHOLD = 0.3
@@ -200,7 +200,7 @@ def choose(counts: list[tuple[str, bool, int, int]], positive: int, negative: in
     for (unit, stem), p in sorted(scored.items(), key=lambda x: (-x[1], x[0])):
         if not stem:
             (stemmed if any(unit.startswith(s) for s in stems) else words).append(unit)
-    return Lexicon(words[:LEXICON], stems[:LEXICON], stemmed[:LEXICON])
+    return Lexicon(words, stems, stemmed)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
@@ -271,7 +271,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     a, b = F.col("p") / seen, F.col("q") / seen
     surprise = seen * (a * F.log(a / share) + F.when(b > 0, b * F.log(b / (1 - share))).otherwise(0.0))
     frequent = units.filter((F.col("p") >= 3) & (F.col("q") * positive <= RATE * F.col("p") * negative)).filter(surprise >= math.log(units.count()))
-    top = frequent.orderBy(F.desc(surprise), "unit", "stem").limit(20 * LEXICON).collect()
+    # the bound on chance alone decides; the units are those of a bounded sample
+    top = frequent.orderBy(F.desc(surprise), "unit", "stem").collect()
     units.unpersist()
     lexicon = choose([(r.unit, r.stem, r.p, r.q) for r in top], positive, negative)
 
