@@ -154,7 +154,7 @@ def contexts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 sample, near, far, doc, name, many = (x[many > 0] for x in (sample, near, far, doc, name, many))
                 if not len(sample):
                     continue
-                # a name of many parts is dealt by what stands before it
+                # a name of many parts is dealt arbitrarily; what is found doesn't depend on it
                 part = np.where(many > 1, T.mix(T._CODES[1][buf[far]] * T.U64(3) + sample.astype(np.uint64)) % many.astype(np.uint64), 0).astype(np.int32)
                 # bytes far .. sample and sample + NAMED .. near + length, gathered at once
                 left, right = sample - far, near + length - sample - NAMED
