@@ -26,8 +26,22 @@ from ..functions import scores
 SAMPLE = 20_000
 MOST_LISTS = 1024
 ROUNDS = 12
-#: Lists that an approximate search reads.
+#: Lists that an exact search reads first.
 PROBES = 12
+#: Of the nearest rows of so many of the sample's rows this share must stand in the lists that an approximate search reads.
+TRIED, SHARE = 200, 0.97
+
+
+def fitted_probes(sample: np.ndarray, centres: np.ndarray, k: int = 10) -> int:
+    """How many lists hold ``SHARE`` of the k nearest of some rows of the sample, by dot product."""
+    own, _ = assigned(sample, centres)
+    tried = sample[:TRIED]
+    scores_ = tried @ sample.T
+    scores_[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
+    best = np.argsort(-scores_, axis=1)[:, : min(k, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(tried @ centres.T), axis=1), axis=1)
+    found = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
+    return int(found[int(SHARE * (len(found) - 1))]) + 1 if len(found) else 1
 
 
 def fit_centroids(sample: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
@@ -79,7 +93,7 @@ class VectorIndex:
         dims = first.dims or 0
         named = named.filter(_usable(F.col("v"), dims))
         n = named.count()
-        sample = np.array([r.v for r in named.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], float).reshape(-1, dims)
+        sample = np.array([r.v for r in named.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], float).reshape(n and -1, dims)
         centres = fit_centroids(sample, max(1, min(MOST_LISTS, int(n**0.5)))) if n else np.zeros((0, dims))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +109,7 @@ class VectorIndex:
         sizes = own.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"))
         middle = self.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "list int, centre array<double>")
         middle.join(sizes, "list").coalesce(1).write.parquet(f"{self.path}/lists")
-        self.spark.createDataFrame([(dims, n)], "dims int, n long").write.parquet(f"{self.path}/about")
+        self.spark.createDataFrame([(dims, n, fitted_probes(sample, centres) if n else 1)], "dims int, n long, probes int").write.parquet(f"{self.path}/about")
         return self
 
     def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +145,9 @@ class VectorIndex:
         reach = [int(x) for x in lists[bound >= least - 1e-5]]
         return self._best(sorted({*first, *reach}), query, k, where)
 
-    def search_many(self, queries: DataFrame, k: int, probes: int = PROBES, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-        """(query_id, rank, id, score): of each query the k best of the rows in the ``probes`` lists nearest to it, but for itself."""
+    def search_many(self, queries: DataFrame, k: int, probes: int | None = None, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+        """(query_id, rank, id, score): of each query the k best of the rows in the ``probes`` lists nearest to it (as many as were fitted to the sample), but for itself."""
+        probes = probes or self.spark.read.parquet(f"{self.path}/about").first().probes
         lists, centres, _ = self.lists()
         dims = centres.shape[1] if len(lists) else 0
 

@@ -96,7 +96,7 @@ class TextIndex:
         )
         blocks = block.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod("tile", F.lit(8))).sortWithinPartitions("bucket", "term", "tile")
         blocks.write.partitionBy("bucket").parquet(f"{self.path}/blocks/segment={segment}")
-        own = self.spark.read.parquet(f"{self.path}/blocks/segment={segment}")
+        own = self.spark.read.schema(blocks.schema).parquet(f"{self.path}/blocks/segment={segment}")
         own.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("blocks")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/terms/segment={segment}")
         # written last: a segment counts once its sizes stand
         sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).write.parquet(f"{self.path}/sizes/segment={segment}")
@@ -142,7 +142,8 @@ class TextIndex:
 
     def dictionary(self, asked: list[tuple[str, int]] | None = None) -> DataFrame:
         """(term, df): in how many documents each term is."""
-        rows = self._read("terms")
+        # an index without rows has no files to read a schema from
+        rows = self.spark.read.schema("segment int, bucket int, term string, df long, blocks long").parquet(f"{self.path}/terms")
         return (rows if asked is None else rows.filter(_among(asked))).groupBy("term").agg(F.sum("df").alias("df"))
 
     def plan(self, query: str | list[str]) -> Plan | None:
