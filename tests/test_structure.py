@@ -92,3 +92,9 @@ def test_chunks_and_strategies():
 def test_odd_archives(spark):
     files = spark.createDataFrame([(1, None), (2, bytearray(b"no archive"))], "id long, data binary")
     assert formats.zip_entries(files).count() == 0 and [r.text for r in formats.docx_texts(files).collect()] == [None, None]
+
+
+def test_sentences_end_in_the_last_three_tenths():
+    """1440 * 0.7 is under 1008 in doubles: a sentence that ends at 1007 is too early, one at 1008 is not."""
+    text = lambda at: "x" * at + ". " + "y " * 900
+    assert len(next(chunks.embedding_pieces(text(1007)))) > 1400 and len(next(chunks.embedding_pieces(text(1008)))) == 1009
