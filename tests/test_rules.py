@@ -82,6 +82,17 @@ def test_exact_pairs(spark):
     assert similar.near_vectors(rows.limit(0), 0.9).count() == 0
 
 
+def test_no_pair_is_missed(spark):
+    """Planes of a band miss some pairs at the threshold; without them all are found, in many blocks too, in other lengths too."""
+    a, b = planted(2000, 24, 0.9)
+    v = [*a, *b, *(x[:12] / np.linalg.norm(x[:12]) for x in a[:5]), *(x[:12] / np.linalg.norm(x[:12]) + 1e-4 for x in a[:5])]
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(9000, [None, 1.0])], "id long, embedding array<double>")
+    near = {(i, j) for i, j in zip(*np.nonzero(np.triu(np.array(v[:4000]) @ np.array(v[:4000]).T >= 0.9, 1)))} | {(4000 + i, 4005 + i) for i in range(5)}
+    found = {(r.a, r.b): r.similarity for r in similar.near_vectors(rows, 0.9).collect()}
+    assert {p for p in found if p[1] < 4000 or p[1] - p[0] == 5} == near and len(near) >= 2005
+    assert all(abs(s - v[i] @ v[j]) < 1e-12 for (i, j), s in found.items())
+
+
 def test_merged_sources(spark):
     pairs = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.95), (4, 5, 0.99)], "a long, b long, similarity double")
     clusters = similar.duplicate_clusters(pairs)
