@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from .graph import cut
+from .graph import cut, spread
 
 
 def both_ways(links: DataFrame) -> DataFrame:
     """(id, other): each link once from either end."""
-    return links.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).union(links.select("target_id", "source_id")).distinct()
+    return spread(links.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).union(links.select("target_id", "source_id")), "id", "other").distinct()
 
 
 def neighbours(links: DataFrame) -> DataFrame:
@@ -28,12 +28,12 @@ def hubs(links: DataFrame, least: int = 8, k: int = 10) -> DataFrame:
 def strongest(links: DataFrame, k: int) -> DataFrame:
     """Each source's k links of highest similarity, ties to the smaller target."""
     order = Window.partitionBy("source_id").orderBy(F.desc("similarity"), "target_id")
-    return links.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("source_id", "target_id", "similarity", "rank")
+    return spread(links, "source_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("source_id", "target_id", "similarity", "rank")
 
 
 def hops(links: DataFrame, seeds: list[int], most: int = 2) -> DataFrame:
     """(id, hop): what is reached from the seeds in at most so many links, and the least number of them."""
-    ends = both_ways(links)
+    ends = cut(both_ways(links))
     near = ends.filter(F.col("id").isin(seeds)).select(F.col("other").alias("id")).distinct()
     found = ends.filter(F.col("id").isin(seeds)).select("id", F.lit(0).alias("hop")).union(near.select("id", F.lit(1)))
     for hop in range(2, most + 1):

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .graph import cut
+from .graph import cut, spread
 
 
 def _clean(edges: DataFrame) -> DataFrame:
-    return cut(edges.select("u", "v").filter("u <> v").distinct())
+    return cut(spread(edges.select("u", "v").filter("u <> v"), "u", "v").distinct())
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -207,14 +207,14 @@ def boundary(edges: DataFrame, inside: Column) -> DataFrame:
 
 def ego(edges: DataFrame, seeds: list[int], depth: int, most: int) -> DataFrame:
     """(u, v): the edges among the nodes at most ``depth`` steps from the seeds, of which the ``most`` nearest, smaller ids first."""
-    both = cut(_both(_clean(edges)).distinct())
+    both = cut(spread(_both(_clean(edges)), "u", "v").distinct())
     roots = both.filter(F.col("u").isin(seeds)).select(F.col("u").alias("id")).distinct()
     found = front = cut(roots.withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
         front = cut(both.join(front.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         found = found.unionByName(front)
     kept = F.broadcast(found.orderBy("depth", "id").limit(most).select("id"))
-    return edges.select("u", "v").distinct().join(kept.select(F.col("id").alias("u")), "u", "left_semi").join(kept.select(F.col("id").alias("v")), "v", "left_semi")
+    return edges.select("u", "v").join(kept.select(F.col("id").alias("u")), "u", "left_semi").join(kept.select(F.col("id").alias("v")), "v", "left_semi").distinct()
 
 
 def cooccurrence(pairs: DataFrame, names: DataFrame) -> DataFrame:

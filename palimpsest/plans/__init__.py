@@ -101,7 +101,8 @@ def contradiction_hints(rows: DataFrame) -> DataFrame:
 
 
 def link_weights(rows: DataFrame) -> DataFrame:
-    return rows.select("source_id", "target_id", "type", scores.link_weight(F.col("type")).alias("weight")).distinct()
+    weighed = rows.select("source_id", "target_id", "type", scores.link_weight(F.col("type")).alias("weight"))
+    return graph.spread(weighed, "source_id", "target_id").distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

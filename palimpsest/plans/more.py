@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import context, facts, links
+from ..operators import context, facts, graph, links
 from ..sources import frames
 from .sql import LINKS, MEMORIES, _WEIGHT
 
@@ -21,7 +21,7 @@ BUDGET = 20_000
 def typed_links(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers and parts that line items join, as typed links."""
     kinds = F.array(*[F.lit(k) for k in ("similarity", "caused_by", "updates", "extends", "consolidates", "related")])
-    both = frames.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    both = graph.cut(graph.spread(frames.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")), "s", "p").distinct())
     kind, weight = F.element_at(kinds, ((F.col("s") + F.col("p")) % 6 + 1).cast("int")), (0.5 + (F.col("p") % 5) / 10.0)
     ahead = both.select((F.col("s") + 1_000_000_000).alias("source_id"), F.col("p").alias("target_id"), weight.alias("similarity"), kind.alias("type"))
     return ahead.union(ahead.select("target_id", "source_id", "similarity", "type"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import graph, links
 
@@ -65,3 +66,11 @@ def test_communities_run_until_settled(spark):
 def test_empty_graph(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert graph.pagerank(none).count() == 0 and links.communities(none).count() == 0
+
+
+def test_rows_stay_in_bounded_partitions(spark, monkeypatch):
+    """However few bytes rows take, a task gets about ``ROWS`` of them."""
+    monkeypatch.setattr(graph, "ROWS", 100)
+    rows = spark.range(2000).select((F.col("id") % 50).alias("source_id"), F.col("id").alias("target_id"), F.lit(0.5).alias("similarity"), F.lit("updates").alias("type"))
+    assert links.both_ways(rows).rdd.getNumPartitions() == 40 and links.both_ways(rows).count() == 4000 - 50
+    assert links.strongest(rows, 3).rdd.getNumPartitions() == 20 and links.strongest(rows, 3).count() == 150
