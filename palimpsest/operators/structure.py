@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .graph import cut, spread
+from .graph import kept, spread
 
 
 def _clean(edges: DataFrame) -> DataFrame:
-    return cut(spread(edges.select("u", "v").filter("u <> v"), "u", "v").distinct())
+    return kept(spread(edges.select("u", "v").filter("u <> v"), "u", "v").distinct())
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round nodes take the least label of their neighbours, then the label of that label, so long chains shrink by halves.
     """
     edges = _clean(edges)
-    both = cut(_both(edges))
-    label = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
+    both = kept(_both(edges))
+    label = kept(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
     while True:
         near = both.join(label, both.v == label.id).groupBy("u").agg(F.min("label").alias("near"))
         hop = label.join(near, label.id == near.u).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # a label's own label may be smaller still
         root = label.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        step = cut(hop.join(root, "label", "left").select("id", F.least("label", F.coalesce("root", "label")).alias("label"), "old"))
+        step = kept(hop.join(root, "label", "left").select("id", F.least("label", F.coalesce("root", "label")).alias("label"), "old"))
         label = step.select("id", "label")
         if step.filter("label <> old").isEmpty():
             return label.select("id", F.col("label").alias("component"))
@@ -43,17 +43,17 @@ def components(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """(id, level): the longest way from a source, by peeling nodes that nothing open points to; null on cycles and behind them."""
     edges = _clean(edges)
-    nodes = cut(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    nodes = kept(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct())
     done, left, level = None, edges, 0
     open_ = nodes
     while True:
-        free = cut(open_.join(left.select(F.col("v").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(level).alias("level")))
+        free = kept(open_.join(left.select(F.col("v").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(level).alias("level")))
         if free.isEmpty():
             rest = open_.select("id", F.lit(None).cast("int").alias("level"))
             return rest if done is None else done.unionByName(rest)
         done = free if done is None else done.unionByName(free)
-        open_ = cut(open_.join(free.select("id"), "id", "left_anti"))
-        left = cut(left.join(free.select(F.col("id").alias("u")), "u", "left_anti"))
+        open_ = kept(open_.join(free.select("id"), "id", "left_anti"))
+        left = kept(left.join(free.select(F.col("id").alias("u")), "u", "left_anti"))
         level += 1
 
 
@@ -62,7 +62,7 @@ def _peeled(edges: DataFrame) -> DataFrame:
     while True:
         starts, ends = edges.select(F.col("u").alias("id")).distinct(), edges.select(F.col("v").alias("id")).distinct()
         inner = starts.join(ends, "id", "left_semi")
-        left = cut(edges.join(inner.withColumnRenamed("id", "u"), "u", "left_semi").join(inner.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"))
+        left = kept(edges.join(inner.withColumnRenamed("id", "u"), "u", "left_semi").join(inner.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"))
         if left.count() == edges.count():
             return left
         edges = left
@@ -72,7 +72,7 @@ def _spread(label: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): labels that each node takes from those that point to it, until the greatest has gone as far as it can; a round joins each edge once."""
     while True:
         came = edges.join(label.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.max("label").alias("came"))
-        step = cut(label.join(came, "id", "left").select("id", F.greatest("label", F.coalesce("came", "label")).alias("label"), F.col("label").alias("old")))
+        step = kept(label.join(came, "id", "left").select("id", F.greatest("label", F.coalesce("came", "label")).alias("label"), F.col("label").alias("old")))
         label = step.select("id", "label")
         if step.filter("label <> old").isEmpty():
             return label
@@ -89,20 +89,20 @@ def cycles(edges: DataFrame) -> DataFrame:
         part = components(edges)
         side = lambda x: edges.groupBy(F.col(x).alias("id")).agg(F.count(F.lit(1)).alias(f"n_{x}"))  # noqa: E731, B023
         ring = part.join(side("u"), "id").join(side("v"), "id").groupBy("component").agg(F.max(F.greatest("n_u", "n_v")).alias("most"), F.max("id").alias("cycle")).filter("most = 1").select("component", "cycle")
-        rings = cut(part.join(ring, "component").select("id", "cycle"))
+        rings = kept(part.join(ring, "component").select("id", "cycle"))
         found.append(rings)
-        edges = cut(edges.join(rings.select(F.col("id").alias("u")), "u", "left_anti"))
+        edges = kept(edges.join(rings.select(F.col("id").alias("u")), "u", "left_anti"))
         if edges.isEmpty():
             break
         nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        label = _spread(cut(nodes.withColumn("label", F.col("id"))), edges)
+        label = _spread(kept(nodes.withColumn("label", F.col("id"))), edges)
         name = lambda x: label.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))  # noqa: E731, B023
-        inside = cut(edges.join(name("u"), "u").join(name("v"), "v").filter("label_u = label_v").select("u", "v"))
+        inside = kept(edges.join(name("u"), "u").join(name("v"), "v").filter("label_u = label_v").select("u", "v"))
         # back along the edges within a label: 1 where its owner can be reached
-        back = _spread(cut(label.select("id", F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label"))), inside.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        strong = cut(label.join(back.filter("label = 1").select("id"), "id").select("id", F.col("label").alias("cycle")))
+        back = _spread(kept(label.select("id", F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label"))), inside.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        strong = kept(label.join(back.filter("label = 1").select("id"), "id").select("id", F.col("label").alias("cycle")))
         several = strong.groupBy("cycle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cycle")
-        found.append(cut(strong.join(several, "cycle").select("id", "cycle")))
+        found.append(kept(strong.join(several, "cycle").select("id", "cycle")))
         gone = strong.select(F.col("id").alias("u"))
         edges = _peeled(edges.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v"))
     if not found:
@@ -136,12 +136,12 @@ def topologies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _tree(both: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """((id, parent, depth), depth of the last): breadth first from the roots, each node under the least of its possible parents."""
-    tree = cut(roots.select("id", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
+    tree = kept(roots.select("id", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
     front, depth = tree, 0
     while True:
         depth += 1
         reached = both.join(front.select(F.col("id").alias("u")), "u").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("parent"))
-        front = cut(reached.join(tree.select("id"), "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth")))
+        front = kept(reached.join(tree.select("id").hint("merge"), "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth")))
         if front.isEmpty():
             return tree, depth - 1
         tree = tree.unionByName(front)
@@ -154,19 +154,19 @@ def bridges(edges: DataFrame) -> DataFrame:
     of the edges that go around it. None: a bridge (but for one chance in 2 ** 64 for each edge).
     """
     one = _clean(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-    both = cut(_both(one))
+    both = kept(_both(one))
     parts = components(one)
     tree, deepest = _tree(both, parts.select(F.col("component").alias("id")).distinct())
-    tree = cut(tree)
+    tree = kept(tree)
     own = tree.filter("parent is not null").select(F.least("id", "parent").alias("u"), F.greatest("id", "parent").alias("v"))
     around = one.join(own, ["u", "v"], "left_anti").withColumn("bits", F.xxhash64("u", "v", F.lit("around")))
-    value = cut(around.select(F.explode(F.array("u", "v")).alias("id"), "bits").groupBy("id").agg(F.bit_xor("bits").alias("bits")))
+    value = kept(around.select(F.explode(F.array("u", "v")).alias("id"), "bits").groupBy("id").agg(F.bit_xor("bits").alias("bits")))
     found = None
     for depth in range(deepest, 0, -1):
-        level = cut(tree.filter(F.col("depth") == depth).join(value, "id", "left").select("id", "parent", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))
+        level = kept(tree.filter(F.col("depth") == depth).join(value, "id", "left").select("id", "parent", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))
         free = level.filter("bits = 0").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
         found = free if found is None else found.unionByName(free)
-        value = cut(value.unionByName(level.select(F.col("parent").alias("id"), "bits")).groupBy("id").agg(F.bit_xor("bits").alias("bits")))
+        value = kept(value.unionByName(level.select(F.col("parent").alias("id"), "bits")).groupBy("id").agg(F.bit_xor("bits").alias("bits")))
     return found if found is not None else one.select(F.col("u").alias("a"), F.col("v").alias("b")).limit(0)
 
 
@@ -175,16 +175,16 @@ def shortest_path(edges: DataFrame, start: int, end: int) -> DataFrame:
     edges = _clean(edges)
     spark = edges.sparkSession
     front = spark.range(1).select(F.lit(start).cast("long").alias("id"), F.array(F.lit(start).cast("long")).alias("path"))
-    seen = cut(front.select("id"))
+    seen = kept(front.select("id"))
     while True:
         hit = front.filter(F.col("id") == end)
         if not hit.isEmpty():
             return hit.select(F.posexplode("path").alias("place", "id"))
         step = front.join(edges, front.id == edges.u).groupBy(F.col("v").alias("id")).agg(F.min("path").alias("path"))
-        front = cut(step.join(seen, "id", "left_anti").select("id", F.concat("path", F.array("id")).alias("path")))
+        front = kept(step.join(seen, "id", "left_anti").select("id", F.concat("path", F.array("id")).alias("path")))
         if front.isEmpty():
             break
-        seen = cut(seen.union(front.select("id")))
+        seen = kept(seen.union(front.select("id")))
     return front.limit(0).select(F.posexplode("path").alias("place", "id"))
 
 
@@ -207,11 +207,11 @@ def boundary(edges: DataFrame, inside: Column) -> DataFrame:
 
 def ego(edges: DataFrame, seeds: list[int], depth: int, most: int) -> DataFrame:
     """(u, v): the edges among the nodes at most ``depth`` steps from the seeds, of which the ``most`` nearest, smaller ids first."""
-    both = cut(spread(_both(_clean(edges)), "u", "v").distinct())
+    both = kept(spread(_both(_clean(edges)), "u", "v").distinct())
     roots = both.filter(F.col("u").isin(seeds)).select(F.col("u").alias("id")).distinct()
-    found = front = cut(roots.withColumn("depth", F.lit(0)))
+    found = front = kept(roots.withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
-        front = cut(both.join(front.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        front = kept(both.join(front.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         found = found.unionByName(front)
     kept = F.broadcast(found.orderBy("depth", "id").limit(most).select("id"))
     return edges.select("u", "v").join(kept.select(F.col("id").alias("u")), "u", "left_semi").join(kept.select(F.col("id").alias("v")), "v", "left_semi").distinct()

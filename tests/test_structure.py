@@ -4,9 +4,11 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.functions import reviews
 from palimpsest.operators import ranking, similar, structure
+from palimpsest.operators.graph import kept
 from palimpsest.sources import chunks, formats
 
 
@@ -98,3 +100,11 @@ def test_sentences_end_in_the_last_three_tenths():
     """1440 * 0.7 is under 1008 in doubles: a sentence that ends at 1007 is too early, one at 1008 is not."""
     text = lambda at: "x" * at + ". " + "y " * 900
     assert len(next(chunks.embedding_pieces(text(1007)))) > 1400 and len(next(chunks.embedding_pieces(text(1008)))) == 1009
+
+
+def test_rounds_send_no_table_through_the_driver(spark, capsys):
+    """Small as it is, a table that a round joins isn't broadcast."""
+    edges = spark.range(1, 60).select(F.col("id").alias("u"), F.floor(F.col("id") / 2).alias("v"))
+    kept(edges).join(edges, "u").explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
