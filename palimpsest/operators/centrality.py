@@ -6,58 +6,158 @@ round are deleted once the next one stands.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .graph import cut, drop
+from .graph import ROWS, cut, drop
 
 #: Pairs of a source and a node that are worked on together; more nodes take more batches of sources.
 PAIRS = 200_000_000
+#: Pairs of a node and a source in a group, parts that nodes are dealt into at least, messages that a group sums at once, and pairs that a task works on, group by group.
+SIZE, PARTS, CHUNK, TASK = 1 << 20, 8, 1 << 22, 1 << 22
+#: Places (32 bits: a node's number in its part, times the block's sources, plus the source's number) and values (64 bits), packed.
+FIELDS = "part int, block int, kind string, at binary, value binary"
+SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("at", pa.binary()), ("value", pa.binary())])
 #: Rounds without a gain after which a level of communities is settled.
 IDLE = 3
 #: A round that gains less counts as one without a gain.
 LEAST_GAIN = 1e-4
 
 
+def _packed(at: np.ndarray, value: np.ndarray) -> list[bytes]:
+    return [at.astype(np.int32).tobytes(), value.astype(np.float64).tobytes()]
+
+
+def _rows(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The places and values of a group's rows of one kind."""
+    own = table.filter(pa.compute.equal(table["kind"], kind))
+    return np.frombuffer(b"".join(own["at"].to_pylist()), np.int32), np.frombuffer(b"".join(own["value"].to_pylist()), np.float64)
+
+
+def _sent(block: int, at: np.ndarray, value: np.ndarray, ends: np.ndarray, nodes: int, wide: int) -> Iterator[tuple]:
+    """Messages along a part's edges (local, other part, other local), in order: what goes to the same place is summed, at most about ``CHUNK`` of them at once."""
+    local = at // wide
+    degree = np.bincount(ends[:, 0], minlength=nodes)
+    first, n = np.cumsum(degree) - degree, degree[local]
+    cuts = np.unique(np.concatenate([np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), CHUNK), side="right"), [len(n)]]))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        entry = np.repeat(np.arange(lo, hi), n[lo:hi])
+        place = np.arange(len(entry)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + first[local[entry]]
+        key, own = np.unique(ends[place, 1].astype(np.int64) << 32 | ends[place, 2] * wide + at[entry] % wide, return_inverse=True)
+        total = np.bincount(own, value[entry], minlength=len(key))
+        bounds = np.flatnonzero(np.diff(key >> 32, prepend=-1))
+        for i, j in zip(bounds, [*bounds[1:], len(key)]):
+            yield (int(key[i] >> 32), block, "message", *_packed(key[i:j] & 0xFFFFFFFF, total[i:j]))
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, SCHEMA.types)], schema=SCHEMA)
+
+
+def _dealt(edges: DataFrame, nodes: DataFrame, near: str, far: str) -> DataFrame:
+    """A row for each part of the nodes: the ends of its edges, in order, and how many nodes it has."""
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("part").alias(f"{x}_part"), F.col("local").alias(f"{x}_local"))
+    ends = nodes.join(edges.select(F.col(near).alias("id"), F.col(far).alias("far")).join(side("far"), "far"), "id", "left").select("part", "local", "far_part", "far_local")
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        n = pa.compute.max(table["local"]).as_py() + 1
+        own = table.filter(table["far_part"].is_valid()).sort_by("local")
+        at = np.stack([own[c].to_numpy() for c in ("local", "far_part", "far_local")], axis=1)
+        return _table([(key[0].as_py(), 0, "ends", *_packed(at.ravel(), np.array([n])))])
+
+    return cut(ends.groupBy("part").applyInArrow(pack, FIELDS).drop("block"))
+
+
 def betweenness(edges: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """(id, centrality): the share of shortest directed ways between other nodes that lead through a node, over (n - 1)(n - 2).
 
-    From each source ways are counted level by level (a level is a join with the edges, less what was seen), then what lies behind a node
-    is handed back up, each node's in proportion to the ways that lead to it. Sources go in batches, so that a level has a bounded number of rows.
+    From each source ways are counted level by level, then what lies behind a node is handed back up, each node's in proportion to the ways that
+    lead to it. Nodes are dealt into parts and sources into blocks: a group has the pairs of one part and one block, ``SIZE`` at most, which of them
+    were seen, and the edges out of the part. A level is one shuffle of messages between groups. Sources go in batches of blocks, so that a level has a bounded number of rows.
     """
     edges = cut(edges.select("u", "v").filter("u <> v").distinct())
-    nodes = cut(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    n = nodes.count()
-    batches, sums = max(1, -(-n * n // pairs)), []
+    parts = max(PARTS, -(-edges.count() // ROWS))
+    named = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    nodes = cut(named.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1))
+    sizes = nodes.agg(F.count(F.lit(1)).alias("n"), F.max("local").alias("most")).first()
+    n, most = sizes.n, (sizes.most or 0) + 1
+    wide = max(1, min(most, SIZE // most))
+    per = -(-most // wide)
+    size, batches = most * wide, min(parts * per, max(1, -(-n * n // pairs)))
+    ahead, back = (_dealt(edges, nodes, *x) for x in (("u", "v"), ("v", "u")))
+
+    def go(first: bool):
+        def step(key: tuple, table: pa.Table) -> pa.Table:
+            part, block = (k.as_py() for k in key)
+            ends, [count] = _rows(table, "ends")
+            at, value = _rows(table, "message")
+            if first and block // per == part:  # the block's sources
+                own = np.arange(block % per * wide, min(int(count), (block % per + 1) * wide))
+                at, value = own * wide + own % wide, np.ones(len(own))
+            before = np.frombuffer(b"".join(table.filter(pa.compute.equal(table["kind"], "seen"))["at"].to_pylist()), np.uint8)
+            seen = np.unpackbits(before, count=size) if len(before) else np.zeros(size, np.uint8)
+            ways = np.bincount(at, value, minlength=size)
+            new = np.flatnonzero((ways > 0) & (seen == 0))
+            seen[new] = 1
+            rows = [(part, block, "level", *_packed(new, ways[new]))] if len(new) else []
+            return _table([*rows, (part, block, "seen", np.packbits(seen).tobytes(), b""), *_sent(block, new, ways[new], ends.reshape(-1, 3), int(count), wide)])
+
+        return step
+
+    def come(key: tuple, table: pa.Table) -> pa.Table:
+        part, block = (k.as_py() for k in key)
+        ends, [count] = _rows(table, "ends")
+        at, ways = _rows(table, "level")
+        behind = ways * np.bincount(*_rows(table, "message"), minlength=size)[at]
+        node, before = _rows(table, "sum")
+        sums = np.bincount(at // wide, behind, minlength=most) + np.bincount(node, before, minlength=most)
+        rows = [(part, block, "sum", *_packed(np.flatnonzero(sums), sums[sums != 0]))]
+        return _table([*rows, *_sent(block, at, (1 + behind) / ways, ends.reshape(-1, 3), int(count), wide)])
+
+    def opened(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for part, at, value in zip(*(c.to_pylist() for c in batch.columns)):
+                local = np.frombuffer(at, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(local), part, np.int32)), pa.array(local), pa.array(np.frombuffer(value, np.float64))], ["part", "local", "behind"])
+
+    sums = []
     for b in range(batches):
-        sources = nodes.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
-        levels = [cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("ways")))]
-        seen = levels[0].select("source", "node")
+        blocks = F.explode(F.sequence(F.lit(b), F.lit(parts * per - 1), F.lit(batches))).alias("block")
+        groups = max(PARTS, parts * parts * per * size // batches // TASK)
+
+        def grouped(ends: DataFrame, rows: DataFrame | None, blocks=blocks, groups=groups):
+            every = ends.select("part", blocks, "kind", "at", "value")
+            return (every if rows is None else every.unionByName(rows)).repartition(groups, "part", "block").groupBy("part", "block")
+
+        rows, steps = grouped(ahead, None), []
         while True:
-            reached = levels[-1].join(edges, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum("ways").alias("ways"))
-            level = cut(reached.join(seen, ["source", "node"], "left_anti"))
-            if level.isEmpty():
+            told = Observation()
+            step = rows.applyInArrow(go(not steps), FIELDS).observe(told, F.count_if(F.col("kind") == "message").alias("n"))
+            steps.append(cut(step))
+            if not told.get["n"]:
                 break
-            levels.append(level)
-            seen = seen.union(level.select("source", "node"))
-        behind, own = levels[-1].withColumn("behind", F.lit(0.0)), []
-        for level in reversed(levels[:-1]):
-            # a node's part of each way that goes on through it
-            part = behind.select("source", F.col("node").alias("v"), ((1 + F.col("behind")) / F.col("ways")).alias("part"))
-            got = part.join(edges, "v").groupBy("source", F.col("u").alias("node")).agg(F.sum("part").alias("part"))
-            behind = cut(level.join(got, ["source", "node"], "left").select("source", "node", "ways", (F.col("ways") * F.coalesce("part", F.lit(0.0))).alias("behind")))
-            own.append(behind)
-        if own:
-            every = own[0]
-            for more in own[1:]:
-                every = every.union(more)
-            sums.append(cut(every.filter("source <> node").groupBy(F.col("node").alias("id")).agg(F.sum("behind").alias("behind"))))
-        drop(*levels, *own)
+            rows = grouped(ahead, steps[-1].filter("kind <> 'level'"))
+        last = None
+        for step in reversed(steps[1:]):
+            level = step.filter("kind = 'level'")
+            new = cut(grouped(back, level if last is None else level.unionByName(last)).applyInArrow(come, FIELDS))
+            drop(step, *([] if last is None else [last]))
+            last = new
+        if last is not None:
+            found = last.filter("kind = 'sum'").select("part", "at", "value").mapInArrow(opened, "part int, local int, behind double")
+            sums.append(cut(found.groupBy("part", "local").agg(F.sum("behind").alias("behind"))))
+            drop(last)
+        drop(steps[0])
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    out = nodes.withColumn("behind", F.lit(0.0))
-    for more in sums:
-        out = out.union(more)
-    return out.groupBy("id").agg((F.sum("behind") * scale).alias("centrality"))
+    each = nodes.select("part", "local", F.lit(0.0).alias("behind"))
+    total = reduce(DataFrame.unionByName, sums, each).groupBy("part", "local").agg((F.sum("behind") * scale).alias("centrality"))
+    return nodes.join(total, ["part", "local"]).select("id", "centrality")
 
 
 def _weight_within(edges: DataFrame, state: DataFrame, total: float) -> float:

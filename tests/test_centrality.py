@@ -86,6 +86,25 @@ def test_betweenness(spark, seed, n, m, pairs):
     assert got == pytest.approx(brandes(edges), abs=1e-9) and max(got.values()) > 0
 
 
+def test_betweenness_in_bounded_groups(spark, monkeypatch):
+    """A group holds at most ``SIZE`` pairs or one source, and sums its messages in pieces."""
+    for name, value in (("SIZE", 12), ("PARTS", 3), ("CHUNK", 4), ("TASK", 64)):
+        monkeypatch.setattr(centrality, name, value)
+    edges = [(0, x) for x in range(1, 9)] + [(x, 9) for x in range(1, 9)] + [(9, 10), (10, 0), (10, 11), (11, 12)]
+    groups, sent = [], centrality.cut
+
+    def cut(df):
+        out = sent(df)
+        if "block" in df.columns:
+            groups.append(out.filter("kind = 'level'").selectExpr("coalesce(max(length(at)) / 4, 0) AS n").first().n)
+        return out
+
+    monkeypatch.setattr(centrality, "cut", cut)
+    got = {r.id: r.centrality for r in centrality.betweenness(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == pytest.approx(brandes(edges), abs=1e-9) and got[0] > 0
+    assert 0 < max(groups) <= 12
+
+
 def test_betweenness_of_little(spark):
     frame = lambda rows: spark.createDataFrame(rows, "u long, v long")
     assert centrality.betweenness(frame([])).collect() == []
