@@ -37,6 +37,8 @@ REJECT_BELOW = 0.3
 ENOUGH = 40
 _SIZE = 1 << 16
 _SLICE_CHARS = 1 << 19
+#: Short texts are worked on together, so many characters and rows at once: their numbers take some 100 bytes a character.
+_HELD_CHARS, _HELD_ROWS = 1 << 17, 512
 
 
 @functools.lru_cache(maxsize=1)
@@ -104,7 +106,7 @@ def _grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
             for piece in _pieces(t):
                 yield i, _gram_ids([piece])[0].ravel()
             continue
-        if size + len(t) > _SLICE_CHARS:
+        if size + len(t) > _HELD_CHARS:
             yield from flush()
             held, size = [], 0
         held.append(i)
@@ -112,6 +114,13 @@ def _grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     yield from flush()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``_HELD_ROWS`` rows at most: a batch's texts never stand beside their copies as a whole."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _HELD_ROWS):
+            yield batch.slice(at, _HELD_ROWS)
+
+
 def _ranked(grams: np.ndarray | None, counts: np.ndarray | None, most: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams, most frequent first, from the n-grams themselves or from a table of counts."""
     if counts is None and grams.size > 4096:
@@ -142,7 +151,7 @@ def learn_profiles(labelled: DataFrame, lang_col: str = "lang", id_col: str = "d
     chosen = rows.join(F.broadcast(sample_ids(rows.select("lang", "id"), "lang", sample)), ["lang", "id"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             total: dict[str, np.ndarray] = {}
             for i, grams in _grams(texts):
@@ -172,7 +181,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], text_col:
         place = np.full((len(langs), _SIZE), -1, np.int64)
         for i, lang in enumerate(langs):
             place[i, profiles[lang]] = np.arange(len(profiles[lang]))
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             best, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
 

@@ -150,3 +150,18 @@ def test_lstm_gradients():
         up = {k: v.copy() for k, v in before.items()}
         up["wf"][at] += 1e-5
         assert (loss(up) - loss(before)) / 1e-5 == pytest.approx(dw[at], abs=1e-5)
+
+
+def test_language_holds_few_texts_at_once(monkeypatch):
+    """However large Spark's batches are, short texts are worked on in parts bounded by rows and characters, each once and in order."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300))], ["id"])
+    parts = list(language._slices(iter([batch, batch.slice(0, 0), batch.slice(5, 3)])))
+    assert [p.num_rows for p in parts] == [512, 512, 276, 3] and pa.Table.from_batches(parts)["id"].to_pylist() == [*range(1300), 5, 6, 7]
+    sizes, own = [], language._gram_ids
+    monkeypatch.setattr(language, "_gram_ids", lambda texts: sizes.append(sum(map(len, texts))) or own(texts))
+    texts = ["ab cd " * 200] * 300 + ["x" * 200_000, "y z"]
+    found = list(language._grams(texts))
+    assert [i for i, _ in found] == list(range(302)) and max(sizes[:-2]) <= 1 << 17
+    assert all(np.array_equal(grams, own([texts[i]])[0].ravel()) for i, grams in found[::60])
