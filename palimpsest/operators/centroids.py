@@ -7,7 +7,7 @@ a dot product with q above q . c + |q| r.
 
 A search with ``probes`` reads the lists of highest q . c only; what it finds is scored exactly, and how many of the true nearest it meets is measured by
 ``recall``. Without, it reads these first for a threshold, then every list whose bound reaches it: the result is exact. Many queries at once
-are joined with the lists that they probe.
+are dealt to the lists that they probe: a list's rows and its queries meet in blocks of bounded size, and only each query's best of a block leave it.
 
 Vectors that are null, of another dimension than the first by id, or hold null or non-finite numbers are in no list. Ties go to the smaller id.
 """
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,10 @@ ROUNDS = 12
 PROBES = 12
 #: Of the nearest rows of so many of the sample's rows this share must stand in the lists that an approximate search reads.
 TRIED, SHARE = 200, 0.97
+#: Rows of a list, and queries that probe it, which meet in one task; scores that a task holds; queries that are dealt at once.
+TOGETHER = 65_536
+PAIRS = 1 << 22
+AT_ONCE = 256
 
 
 def fitted_probes(sample: np.ndarray, centres: np.ndarray, k: int = 10) -> int:
@@ -150,22 +155,66 @@ class VectorIndex:
         probes = probes or self.spark.read.parquet(f"{self.path}/about").first().probes
         lists, centres, _ = self.lists()
         dims = centres.shape[1] if len(lists) else 0
+        named = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("q")).filter(_usable(F.col("q"), dims))
+        row_parts = {r.list: -(-r.n // TOGETHER) for r in self.spark.read.parquet(f"{self.path}/lists").select("list", "n").collect()}
+        parts, query_parts = np.array([row_parts[x] for x in lists], int), max(1, -(-named.count() // TOGETHER))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows and len(lists):
-                    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
-                    near = lists[np.argsort(-(flat @ centres.T), axis=1, kind="stable")[:, :probes]].astype(np.int32)
-                    at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel())], ["query_id", "q", "list"])
-
-        named = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("q")).filter(_usable(F.col("q"), dims))
-        dealt = named.mapInArrow(run, named.withColumn("list", F.lit(0)).schema)
-        hits = self.rows().join(dealt, "list").filter("id <> query_id").select("query_id", "id", F.round(scores.dot(F.col("v"), F.col("q")), 6).alias("score"))
+                for start in range(0, batch.num_rows if len(lists) else 0, AT_ONCE):
+                    part = batch.slice(start, AT_ONCE)
+                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dims)
+                    near = np.argsort(-(flat @ centres.T), axis=1, kind="stable")[:, :probes].ravel()
+                    at = np.repeat(np.arange(part.num_rows), len(near) // part.num_rows)
+                    again = np.repeat(np.arange(len(near)), parts[near])  # once for each part of a list's rows
+                    row_part = np.arange(len(again)) - np.repeat(np.cumsum(parts[near]) - parts[near], parts[near])
+                    columns = [part.column(i).take(pa.array(at[again])) for i in (0, 1, 2)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(lists[near][again].astype(np.int32)), pa.array(row_part.astype(np.int32))], ["query_id", "q", "query_part", "list", "row_part"])
+
+        named = named.withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
+        dealt = named.mapInArrow(deal, named.withColumns({"list": F.lit(0), "row_part": F.lit(0)}).schema)
+        pieces = F.create_map(*[F.lit(int(x)) for pair in row_parts.items() for x in pair]) if row_parts else F.create_map(F.lit(0), F.lit(1))
+        rows = self.rows().select("id", "v", "list", F.pmod(F.xxhash64("id"), F.element_at(pieces, F.col("list"))).cast("int").alias("row_part"))
+        rows = rows.withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+        keys = ["list", "row_part", "query_part"]
+        types = [f"{name} {df.schema[of].dataType.simpleString()}" for name, df, of in (("query_id", named, "query_id"), ("id", rows, "id"))]
+        hits = rows.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(lambda own, asked: _best_pairs(own, asked, k), f"{', '.join(types)}, score double")
+        hits = hits.select("query_id", "id", F.round("score", 6).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _best_pairs(own: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """(query_id, id, score): the k best of the rows (id, v) for each query (query_id, q), but for itself."""
+    n, dims = own.num_rows, len(asked["q"][0]) if asked.num_rows else 0
+    ids, names = own["id"].combine_chunks(), asked["query_id"].combine_chunks()
+    picked_rows, picked_queries, found = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    if n and asked.num_rows:
+        order = pc.sort_indices(ids).to_numpy()
+        ids = ids.take(pa.array(order))
+        v = pc.list_flatten(own["v"]).to_numpy().reshape(n, dims)[order]
+        q = pc.list_flatten(asked["q"]).to_numpy().reshape(-1, dims)
+        self_at = pc.fill_null(pc.index_in(names, ids), -1).to_numpy(zero_copy_only=False)
+        step = max(1, PAIRS // n)
+        for start in range(0, len(q), step):
+            score = v @ q[start : start + step].T
+            here = self_at[start : start + step]
+            score[here[here >= 0], np.flatnonzero(here >= 0)] = -np.inf
+            top = min(k, n)
+            least = np.partition(score, n - top, axis=0)[n - top]
+            # the products above may differ from plain sums in the last digits, so that all within the rounding are summed again
+            row, col = np.nonzero((score >= least - 2e-6) & (score > -np.inf))
+            exact = np.zeros(len(row))
+            for d in range(dims):
+                exact += v[row, d] * q[start + col, d]
+            by = np.lexsort((row, -np.round(exact, 6), col))
+            row, col, exact = row[by], col[by], exact[by]
+            keep = np.arange(len(col)) - np.searchsorted(col, col) < k
+            picked_rows.append(row[keep]), picked_queries.append(start + col[keep]), found.append(exact[keep])
+    at = lambda x: pa.array(np.concatenate(x))
+    return pa.table([names.take(at(picked_queries)), ids.take(at(picked_rows)), at(found)], ["query_id", "id", "score"])
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(queries, recall): of the exact rows (query_id, id) the share that was found."""
     pairs = lambda x: x.select("query_id", "id")

@@ -6,6 +6,7 @@ import tempfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,24 @@ def test_vector_index(spark):
     assert index.search([1.0], 5).collect() == []
 
 
+def test_many_queries_meet_lists_in_blocks(spark, monkeypatch):
+    """Lists of many copies are split, ties go to the smaller id, and only the best of a block leave it."""
+    monkeypatch.setattr(centroids, "TOGETHER", 16)
+    monkeypatch.setattr(centroids, "PAIRS", 50)
+    monkeypatch.setattr(centroids, "AT_ONCE", 7)
+    v = np.vstack([vectors(200, 8, 4), np.tile(vectors(20, 8, 5)[:1], (100, 1))])
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<double>")
+    index = centroids.VectorIndex(spark, folder()).build(frame)
+    queries = frame.filter("id % 5 = 0")
+    true = centroids.exact_many(index.rows().select("id", "v"), queries.select("id", F.col("embedding").alias("v")), 10)
+    got = index.search_many(queries, 10, probes=300)
+    pick = lambda x: sorted((r.query_id, r["rank"], r.id, r.score) for r in x.collect())
+    assert pick(got) == pick(true)
+    own = pa.table({"id": list(range(300)), "v": [list(x) for x in v]})
+    best = centroids._best_pairs(own, pa.table({"query_id": [0, 250], "q": [list(v[0]), list(v[250])]}), 10)
+    assert best.num_rows == 20 and best["id"].to_pylist()[10:] == list(range(200, 210))
+
+
 def test_recall_on_the_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     index = centroids.VectorIndex(spark, folder()).build(rows)
