@@ -74,3 +74,18 @@ def test_rows_stay_in_bounded_partitions(spark, monkeypatch):
     rows = spark.range(2000).select((F.col("id") % 50).alias("source_id"), F.col("id").alias("target_id"), F.lit(0.5).alias("similarity"), F.lit("updates").alias("type"))
     assert links.both_ways(rows).rdd.getNumPartitions() == 40 and links.both_ways(rows).count() == 4000 - 50
     assert links.strongest(rows, 3).rdd.getNumPartitions() == 20 and links.strongest(rows, 3).count() == 150
+
+
+def test_links_are_shuffled_once(spark, monkeypatch):
+    """In a round links stay where they lie: what is exchanged are values of nodes."""
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    rows = made_up(60, 8, 9)
+    edges, wanted = graph.blocked(spark.createDataFrame(rows, SCHEMA).select("source_id", "target_id", F.col("similarity").alias("w")))
+    assert edges.select("block").distinct().count() == 12 and edges.select("block", "target_id").distinct().count() == edges.select("target_id").distinct().count()
+    with graph.by_block(edges):
+        met = graph.sent(edges, wanted, spark.range(60).withColumn("value", F.lit(1.0))).groupBy("block", "target_id").agg(F.sum("value").alias("n"))
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert sum(r.n for r in met.collect()) == 480
+    assert plan.count("Exchange hashpartitioning(block") == 1 and plan.count("Exchange") == 2, plan
+    want = plain_ranks(rows, 1e-6)[0]
+    assert {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame(rows, SCHEMA)).collect()} == pytest.approx(want, abs=1e-12)
