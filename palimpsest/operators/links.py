@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from .graph import cut, spread
+from .graph import cut, drop, packed, spread, widened
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -42,24 +44,56 @@ def hops(links: DataFrame, seeds: list[int], most: int = 2) -> DataFrame:
     return found.groupBy("id").agg(F.min("hop").alias("hop"))
 
 
+def _voted(own: pa.Table, told: pa.Table) -> pa.Table:
+    """Votes (id, label, w) of a block's links, by the labels (at, label) of its sources: of a target whose links are all here the one that wins, of the first and the last target all."""
+    n, at, w = (widened(own[c][0]) for c in ("n", "at", "w"))
+    known = np.frombuffer(own["known"][0].as_buffer(), np.bool_)
+    label = np.empty(told.num_rows, np.int64)
+    label[told["at"].to_numpy()] = told["label"].to_numpy()
+    names, code = np.unique(label, return_inverse=True)
+    pair = np.repeat(np.arange(len(n)) * len(names), n) + code[at]
+    order = np.argsort(pair)
+    first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+    target, code = np.divmod(pair[order[first]], len(names))
+    total = np.add.reduceat(w[order], first, dtype=np.int64)
+    some = np.logical_or.reduceat(known[order], first) if len(known) else np.ones(len(first), bool)
+    weight = np.where(some, total, np.iinfo(np.int64).min)
+    best = np.maximum.reduceat(weight, np.flatnonzero(np.diff(target, prepend=-1)))[target]
+    least = np.flatnonzero(weight == best)
+    goes = (target == 0) | (target == len(n) - 1)
+    goes[least[np.diff(target[least], prepend=-1) > 0]] = True
+    columns = [pa.array(own["targets"][0].values.to_numpy()[target[goes]]), pa.array(names[code[goes]]), pa.array(total[goes], mask=~some[goes])]
+    return pa.Table.from_arrays(columns, ["id", "label", "w"])
+
+
 def communities(links: DataFrame, rounds: int = 15) -> DataFrame:
     """(id, label): each round a row takes the label of most weight among its sources, ties to the smaller label.
 
     Weights are whole hundredths, so that sums don't depend on their order. Rows that nothing points to keep theirs.
-    Ends after ``rounds``, or with the round in which no label changes.
+    Ends after ``rounds``, or with the round in which no label changes. Links lie in blocks and are shuffled once; a round exchanges
+    labels that blocks want to hear of and votes that may win.
     """
+    kind = links.schema["source_id"].dataType
     weight = F.round(F.col("similarity") * scores.link_weight(F.col("type")) * 100).cast("long")
-    edges = cut(links.select("source_id", "target_id", weight.alias("w")))
-    nodes = cut(edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct())
-    labels = nodes.withColumn("label", F.col("id"))
+    edges = links.select(F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id"), weight.alias("w"))
+    whole = F.col("source_id").isNotNull() & F.col("target_id").isNotNull()
+    blocks, wanted = packed(edges.filter(whole), links.count())
+    ends = wanted.select("source_id").unionAll(blocks.select(F.explode("targets"))).unionAll(edges.filter(~whole).select(F.explode(F.array("source_id", "target_id"))))
+    labels = cut(ends.distinct().select(F.col("source_id").alias("id"), F.col("source_id").alias("label")))
+    none = F.lit(None).cast("long")
     for _ in range(rounds):
-        votes = edges.join(labels, edges.source_id == labels.id).groupBy("target_id", "label").agg(F.sum("w").alias("w"))
-        won = votes.groupBy(F.col("target_id").alias("id")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("won"))
-        step = cut(labels.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("changed")))
-        labels = step.select("id", "label")
+        told = wanted.join(labels.hint("shuffle_hash"), wanted.source_id == labels.id).select("block", "at", "label")
+        heard = blocks.select("block", "targets", "n", "at", "w", "known").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_voted, "id long, label long, w long")
+        votes = heard.groupBy("id", "label").agg(F.sum("w").alias("w")).withColumn("own", none)
+        every = votes.unionByName(labels.select("id", none.alias("label"), none.alias("w"), F.col("label").alias("own")))
+        won = every.groupBy("id").agg(F.max_by("label", F.struct(F.col("label").isNotNull(), "w", -F.col("label"))).alias("won"), F.max("own").alias("own"))
+        step = cut(won.select("id", F.coalesce("won", "own").alias("label"), (F.col("won") != F.col("own")).alias("changed")))
+        drop(labels)
+        labels = step
         if step.filter("changed").isEmpty():
             break
-    return labels
+    drop(blocks, wanted)
+    return labels.select(F.col("id").cast(kind), F.col("label").cast(kind))
 
 
 def unmatched(rows: DataFrame, others: DataFrame, key: str, other_key: str) -> DataFrame:

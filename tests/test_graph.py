@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,31 @@ def test_links_are_shuffled_once(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning(block") == 1 and plan.count("Exchange") == 2, plan
     want = plain_ranks(rows, 1e-6)[0]
     assert {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame(rows, SCHEMA)).collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_communities_exchange_labels_and_votes_only(spark, monkeypatch):
+    """Links are shuffled once, into blocks of bounded size; what a round shuffles grows with nodes and blocks, and a target of more links than a block has is right."""
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    blocks = []
+    pack, join = links.packed, links._voted
+    monkeypatch.setattr(links, "packed", lambda edges, about: blocks.append(pack(edges, about)) or blocks[0])
+    monkeypatch.setattr(links, "drop", lambda *_: None)
+    rows = made_up(60, 8, 9) + [(i, 1000, 0.5 + i % 3 / 10, "updates") for i in range(2000, 2300)]  # 300 links to one target
+    rows += [(2000, 2000 + i % 4, 0.5, "related") for i in range(200)]  # a link many times over
+    want, done = plain_labels(rows, 15)
+    assert {r.id: r.label for r in links.communities(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+    dealt, wanted = blocks[0]
+    sizes = [r for r in dealt.select("block", "n", "targets", "sources").collect()]
+    n = [int(np.frombuffer(r.n, r.n[:8].decode().strip(), offset=8).sum()) for r in sizes]
+    assert sum(n) == len(rows) and len(n) > 8
+    assert sum(1000 in r.targets for r in sizes) > 3 and wanted.count() == sum(len(r.sources) for r in sizes)
+    label = pa.table({"at": pa.array(range(len(sizes[0].sources)), pa.int32()), "label": pa.array([7] * len(sizes[0].sources), pa.int64())})
+    own = pa.Table.from_pylist([dealt.filter(F.col("block") == sizes[0].block).first().asDict()])
+    assert join(own, label).num_rows == len(sizes[0].targets)  # of all a target's links one vote goes on
+
+
+def test_communities_of_odd_links(spark):
+    """Ends and weights that are null, weights below zero, wide ids."""
+    rows = [(1, 2, None, "updates"), (3, 2, None, "updates"), (4, 5, -0.5, "updates"), (6, 5, None, "updates"), (None, 7, 0.5, "updates"), (8, None, 0.5, "updates"), (1 << 60, 9, 3e12, "related"), (10, 9, 299.0, "related")]
+    got = {r.id: r.label for r in links.communities(spark.createDataFrame(rows, SCHEMA), 1).collect()}
+    assert got == {None: None, 1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 1 << 60, 10: 10, 1 << 60: 1 << 60}
