@@ -207,14 +207,15 @@ def boundary(edges: DataFrame, inside: Column) -> DataFrame:
 
 def ego(edges: DataFrame, seeds: list[int], depth: int, most: int) -> DataFrame:
     """(u, v): the edges among the nodes at most ``depth`` steps from the seeds, of which the ``most`` nearest, smaller ids first."""
-    both = kept(spread(_both(_clean(edges)), "u", "v").distinct())
+    one = _clean(edges)
+    both = kept(spread(_both(one), "u", "v").distinct())
     roots = both.filter(F.col("u").isin(seeds)).select(F.col("u").alias("id")).distinct()
     found = front = kept(roots.withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
         front = kept(both.join(front.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         found = found.unionByName(front)
-    kept = F.broadcast(found.orderBy("depth", "id").limit(most).select("id"))
-    return edges.select("u", "v").join(kept.select(F.col("id").alias("u")), "u", "left_semi").join(kept.select(F.col("id").alias("v")), "v", "left_semi").distinct()
+    near = F.broadcast(found.orderBy("depth", "id").limit(most).select("id"))
+    return one.join(near.select(F.col("id").alias("u")), "u", "left_semi").join(near.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v")
 
 
 def cooccurrence(pairs: DataFrame, names: DataFrame) -> DataFrame:

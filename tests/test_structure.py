@@ -108,3 +108,11 @@ def test_rounds_send_no_table_through_the_driver(spark, capsys):
     kept(edges).join(edges, "u").explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_ego(spark):
+    """Either way along the edges, nearest first; loops, repeats and null ends are in no graph."""
+    frame = spark.createDataFrame([(1, 2), (1, 2), (3, 2), (3, 4), (4, 5), (2, 2), (None, 1), (9, 8)], "u long, v long")
+    ego = lambda *args: sorted(tuple(r) for r in structure.ego(frame, *args).collect())
+    assert ego([1], 2, 50) == [(1, 2), (3, 2)] and ego([1, 9], 1, 50) == [(1, 2), (9, 8)]
+    assert ego([1], 3, 3) == [(1, 2), (3, 2)] and ego([1], 4, 50) == [(1, 2), (3, 2), (3, 4), (4, 5)] and ego([7], 2, 50) == []
