@@ -21,6 +21,8 @@ from .graph import ROWS, cut, drop
 PAIRS = 200_000_000
 #: Pairs of a node and a source in a group, parts that nodes are dealt into at least, messages that a group sums at once, and pairs that a task works on, group by group.
 SIZE, PARTS, CHUNK, TASK = 1 << 20, 8, 1 << 22, 1 << 22
+#: Pairs that a task walks where the graph is sent to it, and tasks at most.
+WALK, WALKS = 1 << 26, 512
 #: Places (32 bits: a node's number in its part, times the block's sources, plus the source's number) and values (64 bits), packed.
 FIELDS = "part int, block int, kind string, at binary, value binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("at", pa.binary()), ("value", pa.binary())])
@@ -74,23 +76,82 @@ def _dealt(edges: DataFrame, nodes: DataFrame, near: str, far: str) -> DataFrame
     return cut(ends.groupBy("part").applyInArrow(pack, FIELDS).drop("block"))
 
 
-def betweenness(edges: DataFrame, pairs: int = PAIRS) -> DataFrame:
-    """(id, centrality): the share of shortest directed ways between other nodes that lead through a node, over (n - 1)(n - 2).
+def _behind(first: np.ndarray, target: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """What lies behind each node on the ways from some sources: ``first`` has where a node's edges begin in ``target``, and their number last.
 
-    From each source ways are counted level by level, then what lies behind a node is handed back up, each node's in proportion to the ways that
-    lead to it. Nodes are dealt into parts and sources into blocks: a group has the pairs of one part and one block, ``SIZE`` at most, which of them
-    were seen, and the edges out of the part. A level is one shuffle of messages between groups. Sources go in batches of blocks, so that a level has a bounded number of rows.
+    A pair's place is its source's number times the nodes, plus its node.
+    """
+    n = len(first) - 1
+    degree, start = np.diff(first), np.arange(len(sources)) * n + sources
+    ways, seen, slot = np.zeros(len(sources) * n), np.zeros(len(sources) * n, bool), np.empty(len(sources) * n, np.int32)
+    ways[start], seen[start] = 1.0, True
+    at, node, levels = start, sources, []
+    while len(at):
+        k = degree[node]
+        entry = np.repeat(np.arange(len(at)), k)
+        to = target[np.arange(len(entry)) + np.repeat(first[node] - np.cumsum(k) + k, k)]
+        key = to + (at - node)[entry]
+        new = np.flatnonzero(~seen[key])
+        entry, to, key = entry[new], to[new], key[new]
+        levels.append((at, entry, key))
+        # one of the edges that reach a pair at once stands for it
+        every = np.arange(len(key), dtype=np.int32)
+        slot[key] = every
+        stands = slot[key]
+        total = np.bincount(stands, ways[at][entry], minlength=len(key))
+        own = np.flatnonzero(stands == every)
+        at, node = key[own], to[own]
+        ways[at], seen[at] = total[own], True
+    share, behind = np.zeros(len(ways)), ways  # in place
+    for at, entry, key in reversed(levels):
+        own = ways[at]
+        new = own * np.bincount(entry, share[key], minlength=len(at))
+        share[at] = (1 + new) / own
+        behind[at] = new
+    behind[start] = 0.0
+    return behind.reshape(len(sources), n).sum(axis=0)
+
+
+def _walked(ahead: DataFrame, parts: int, n: int, m: int) -> DataFrame:
+    """(part, local, behind) of a graph whose edges and nodes a task can hold: each task gets them by a shuffle and walks from its own sources, a block of pairs after the other."""
+    tasks = int(max(min(PARTS, n), min(WALKS, n * n // WALK)))
+    block = max(1, min(SIZE // max(1, n), CHUNK // max(1, m)))
+
+    def walk(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted((part, np.frombuffer(at, np.int32).reshape(-1, 3), int(np.frombuffer(value)[0])) for part, at, value in zip(*(table[c].to_pylist() for c in ("part", "at", "value"))))
+        offset = np.zeros(parts + 1, np.int64)
+        for part, _, count in rows:
+            offset[part + 1] = count
+        offset = np.cumsum(offset)
+        source, target = (np.concatenate(x) for x in zip(*((ends[:, 0] + offset[part], offset[ends[:, 1]] + ends[:, 2]) for part, ends, _ in rows)))
+        first = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=n))])
+        total, own = np.zeros(n), np.arange(key[0].as_py(), n, tasks)
+        for i in range(0, len(own), block):
+            total += _behind(first, target, own[i : i + block])
+        return _table([(part, 0, "sum", b"", total[offset[part] : offset[part + 1]].tobytes()) for part, _, _ in rows])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {}
+        for batch in batches:
+            for part, value in zip(*(c.to_pylist() for c in batch.columns)):
+                totals[part] = totals.get(part, 0.0) + np.frombuffer(value)
+        for part, behind in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(behind), part, np.int32)), pa.array(np.arange(len(behind), dtype=np.int32)), pa.array(behind)], ["part", "local", "behind"])
+
+    each = ahead.select("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "at", "value").repartitionByRange(tasks, "task")
+    sums = each.groupBy("task").applyInArrow(walk, FIELDS).select("part", "value").repartition(parts, "part")
+    return cut(sums.mapInArrow(summed, "part int, local int, behind double"))
+
+
+def _by_levels(ahead: DataFrame, back: DataFrame, parts: int, n: int, most: int, pairs: int) -> list[DataFrame]:
+    """(part, local, behind) of larger graphs, for each batch of sources. ``most``: the nodes of the largest part.
+
+    Sources are dealt into blocks: a group has the pairs of one part and one block, ``SIZE`` at most, which of them were seen, and the edges out
+    of the part. A level is one shuffle of messages between groups. Sources go in batches of blocks, so that a level has a bounded number of rows.
     """
-    edges = cut(edges.select("u", "v").filter("u <> v").distinct())
-    parts = max(PARTS, -(-edges.count() // ROWS))
-    named = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    nodes = cut(named.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1))
-    sizes = nodes.agg(F.count(F.lit(1)).alias("n"), F.max("local").alias("most")).first()
-    n, most = sizes.n, (sizes.most or 0) + 1
     wide = max(1, min(most, SIZE // most))
     per = -(-most // wide)
     size, batches = most * wide, min(parts * per, max(1, -(-n * n // pairs)))
-    ahead, back = (_dealt(edges, nodes, *x) for x in (("u", "v"), ("v", "u")))
 
     def go(first: bool):
         def step(key: tuple, table: pa.Table) -> pa.Table:
@@ -154,6 +215,26 @@ def betweenness(edges: DataFrame, pairs: int = PAIRS) -> DataFrame:
             sums.append(cut(found.groupBy("part", "local").agg(F.sum("behind").alias("behind"))))
             drop(last)
         drop(steps[0])
+    return sums
+
+
+def betweenness(edges: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """(id, centrality): the share of shortest directed ways between other nodes that lead through a node, over (n - 1)(n - 2).
+
+    From each source ways are counted level by level, then what lies behind a node is handed back up, each node's in proportion to the ways that
+    lead to it. Up to ``SIZE`` nodes and ``CHUNK`` edges each task walks the graph from its own sources; in larger graphs a level is a shuffle, ``pairs`` of them at once.
+    """
+    edges = cut(edges.select("u", "v").filter("u <> v").distinct())
+    m = edges.count()
+    parts = max(PARTS, -(-m // ROWS))
+    named = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    nodes = cut(named.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1))
+    sizes = nodes.agg(F.count(F.lit(1)).alias("n"), F.max("local").alias("most")).first()
+    n, ahead = sizes.n, _dealt(edges, nodes, "u", "v")
+    if n <= SIZE and m <= CHUNK:
+        sums = [_walked(ahead, parts, n, m)] if n else []
+    else:
+        sums = _by_levels(ahead, _dealt(edges, nodes, "v", "u"), parts, n, sizes.most + 1, pairs)
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     each = nodes.select("part", "local", F.lit(0.0).alias("behind"))
     total = reduce(DataFrame.unionByName, sums, each).groupBy("part", "local").agg((F.sum("behind") * scale).alias("centrality"))

@@ -133,3 +133,23 @@ def test_louvain_of_little(spark):
     assert centrality.louvain(frame([])).collect() == []
     two = [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (11, 12, 1.0), (12, 13, 1.0), (11, 13, 1.0), (3, 11, 0.1)]
     assert {r.id: r.community for r in centrality.louvain(frame(two), "w").collect()} == {1: 1, 2: 1, 3: 1, 11: 11, 12: 11, 13: 11}
+
+
+def test_betweenness_of_a_long_way(spark, monkeypatch):
+    """Of a graph that a task can hold no table is written for each level, whatever tasks and blocks its sources are dealt to."""
+    written, sent = [], centrality.cut
+    monkeypatch.setattr(centrality, "cut", lambda df: written.append(df) or sent(df))
+    for name, value in (("WALK", 64), ("WALKS", 5), ("SIZE", 130), ("CHUNK", 130)):
+        monkeypatch.setattr(centrality, name, value)
+    edges = [(x, x + 1) for x in range(40)] + [(3, 30), (30, 7), (41, 20), (7, 42), (42, 9), (7, 43), (43, 9)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    got = {r.id: r.centrality for r in centrality.betweenness(frame).collect()}
+    assert got == pytest.approx(brandes(edges), abs=1e-9) and max(got.values()) > 0 and len(written) <= 4
+
+
+def test_betweenness_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(centrality, "SIZE", 20)
+    rng = random.Random(3)
+    edges = [(a, b) for a, b in ((rng.randrange(25), rng.randrange(25)) for _ in range(32)) if a != b]
+    got = {r.id: r.centrality for r in centrality.betweenness(spark.createDataFrame(edges, "u long, v long"), 300).collect()}
+    assert got == pytest.approx(brandes(edges), abs=1e-9) and max(got.values()) > 0
