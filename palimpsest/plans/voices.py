@@ -87,7 +87,7 @@ def promoted_scratch(spark: SparkSession, sf: str) -> DataFrame:
 def stream_scratch(spark: SparkSession, sf: str) -> DataFrame:
     """Entries that live when all events have passed through the stream."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     minutes = F.when(F.col("event_id") % 5 > 0, (F.col("event_id") % 60) * 40)
     sent = keyed.drained(spark, keyed.living(events, ["user_id", "event_type"], minutes=minutes), "update")
     last = sent.groupBy("user_id", "event_type").agg(F.max_by(F.struct("value", "updated", "expires", "live"), F.col("batch")).alias("s")).select("user_id", "event_type", "s.*")

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,43 +14,66 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.graph import shared_dir
 
 DEFAULT_MINUTES, MOST_MINUTES = 30, 1440
+#: Buckets that keys are dealt to, and writes that a bucket folds at once at least.
+BUCKETS, FOLD = 512, 1 << 16
 
 
-def _last_write(keys: list[str]) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """Of a key the latest write (of equal times the greater order); a timer ends it. Batches of any number are folded to one row of state."""
-    names = [*keys, "value", "updated", "expires", "live"]
+def _latest(rows: list[pd.DataFrame], keys: list[str]) -> pd.DataFrame:
+    """Of each key the latest row; of equal times the greater order, then the one that came first."""
+    return pd.concat(rows, ignore_index=True).sort_values(["_at", "_order"], ascending=False, kind="stable").drop_duplicates(keys)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at, _, value, until = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, value, at, until, False)], columns=names)
-            return
-        best = state.get if state.exists else None
+
+def _last_writes(keys: list[str]) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Of each key of a bucket the latest write; its end, after the watermark that it was last written at, ends it. The bucket's state is one row: a packed table of its living keys."""
+    columns = [*keys, "_at", "_order", "_value", "_until"]
+
+    def step(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+        came, waiting, n = [], [], 0
         for rows in batches:
-            for at, order, value, until in zip(rows["_at"], rows["_order"], rows["_value"], rows["_until"], strict=True):
-                if best is None or (at, order) > (best[0], best[1]):
-                    best = (int(at), int(order), None if pd.isna(value) else float(value), int(until))
-        state.update(best)
+            if len(rows):
+                waiting.append(rows[columns])
+                n += len(rows)
+            if n >= max(FOLD, sum(map(len, came))):
+                came, waiting, n = [_latest([*came, *waiting], keys)], [], 0
+        came = [_latest([*came, *waiting], keys).assign(_timer=0, _came=True)] if came or waiting else []
+        rows = pd.concat([*([] if held is None else [held.assign(_came=False)]), *came], ignore_index=True)
+        written = rows["_came"] | rows.duplicated(keys, keep=False)
+        rows = _latest([rows.assign(_came=written)], keys)
+        watermark = state.getCurrentWatermarkMs()
         # a timer lies after the watermark
-        state.setTimeoutTimestamp(max(best[3] // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, best[2], best[0], best[3], True)], columns=names)
+        rows["_timer"] = rows["_timer"].where(~rows["_came"], (rows["_until"] // 1000).clip(lower=watermark + 1))
+        live = rows["_timer"] >= watermark
+        left = rows.loc[live, [*columns, "_timer"]]
+        if len(left):
+            table, sink = pa.Table.from_pandas(left, preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(int(left["_timer"].min()), watermark + 1))
+        elif state.exists:
+            state.remove()
+        said = rows.assign(live=live)[rows["_came"] | ~live].rename(columns={"_value": "value", "_at": "updated", "_until": "expires"})
+        if len(said):
+            yield said[[*keys, "value", "updated", "expires", "live"]]
 
     return step
 
 
-def living(stream: DataFrame, keys: list[str], at: str = "ts", order: str = "event_id", value: str = "value", minutes: Column | None = None, late: str = "10 minutes") -> DataFrame:
+def living(stream: DataFrame, keys: list[str], at: str = "ts", order: str = "event_id", value: str = "value", minutes: Column | None = None, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Updates (keys, value, updated, expires, live) of a stream of writes, times as microseconds.
 
     A write lives ``minutes`` (30 where none are given; 1 to 1440). live is false in the update that a timer sends once the watermark has passed an entry's end; state is let
-    go then. Rows without a key, a time or an order take no part. One row of state for each key that lives, whatever the number of writes.
+    go then. Rows without a key, a time or an order take no part. Keys are dealt to ``buckets`` by their hash, as a call of Python for each key takes far longer than its rows do: about as many as keep a bucket's living
+    keys within a task's memory, as a batch reads and writes the whole state of each bucket that it has rows for. State grows with the keys that live, whatever the number of writes.
     """
     lives = F.least(F.greatest(F.coalesce(F.lit(DEFAULT_MINUTES) if minutes is None else minutes, F.lit(DEFAULT_MINUTES)), F.lit(1)), F.lit(MOST_MINUTES)).cast("long")
     own = stream.filter(F.col(at).isNotNull() & F.col(order).isNotNull()).dropna(subset=keys)
     own = own.select(*keys, F.col(at).alias("_time"), F.unix_micros(at).alias("_at"), F.col(order).cast("long").alias("_order"), F.col(value).cast("double").alias("_value"), (F.unix_micros(at) + lives * 60_000_000).alias("_until"))
     named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*keys).schema)
-    return own.withWatermark("_time", late).groupBy(*keys).applyInPandasWithState(
-        _last_write(keys), f"{named}, value double, updated long, expires long, live boolean", "at long, ord long, value double, until long", "update", GroupStateTimeout.EventTimeTimeout
+    dealt = own.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    return dealt.withWatermark("_time", late).groupBy("_bucket").applyInPandasWithState(
+        _last_writes(keys), f"{named}, value double, updated long, expires long, live boolean", "entries binary", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
