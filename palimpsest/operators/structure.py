@@ -6,6 +6,8 @@ gathered. Loops of a node with itself and null ends are left out; a graph withou
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,14 +121,49 @@ def breadth(level: DataFrame) -> DataFrame:
     return width.agg(F.count("level").alias("levels"), F.coalesce(F.max(F.when(F.col("level").isNotNull(), F.col("n"))), F.lit(0)).alias("widest"), F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("n"))), F.lit(0)).alias("in_cycles"))
 
 
+def _degrees(edges: DataFrame) -> DataFrame:
+    """(part, id, i, o): edges into and out of the nodes of edges (part, u, v)."""
+    ends = edges.select("part", F.col("u").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionAll(edges.select("part", "v", F.lit(1), F.lit(0)))
+    return ends.groupBy("part", "id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """(part): the components that hold a cycle, of distinct edges (part, u, v), u <> v, with their component.
+
+    Where each node is pointed to, or each points to another, there is one; where edges are one less than nodes, there is none. Others lose their first and last nodes, and some of those
+    with one edge in and one out, which the nodes at either side of them then skip, so long ways shrink by a share in each round; a loop that this leaves is a cycle.
+    """
+    left, found, turn = kept(edges.select("part", "u", "v")), [], 0
+    while True:
+        degree = kept(_degrees(left))
+        loops = left.filter("u = v").groupBy("part").agg(F.lit(True).alias("loop"))
+        state = degree.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("m"), F.min("i").alias("i"), F.min("o").alias("o")).join(loops, "part", "left")
+        state = kept(state.select("part", ((F.col("i") > 0) | (F.col("o") > 0) | F.coalesce("loop", F.lit(False))).alias("cycle"), (F.col("m") == F.col("n") - 1).alias("tree")))
+        found.append(state.filter("cycle").select("part"))
+        still = kept(left.join(state.filter("not cycle and not tree"), "part", "left_semi"))
+        if still.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        inner = kept(degree.filter("i > 0 and o > 0").select("id", ((F.col("i") == 1) & (F.col("o") == 1)).alias("thin")))
+        name = lambda x: inner.select(F.col("id").alias(x), F.col("thin").alias(f"thin_{x}"))  # noqa: E731, B023
+        core = still.join(name("u"), "u").join(name("v"), "v")
+        # of thin nodes that follow each other at most every second one goes
+        heads = lambda x: F.pmod(F.xxhash64(x, F.lit(turn)), F.lit(2)) == 1  # noqa: E731, B023
+        core = kept(core.withColumn("go", F.col("thin_v") & heads("v") & ~(F.col("thin_u") & heads("u"))))
+        into = core.filter("go").select(F.col("u").alias("before"), F.col("v").alias("gone"))
+        out = core.join(into.select("gone"), F.col("u") == F.col("gone"), "left_semi").select("part", F.col("u").alias("gone"), F.col("v").alias("after"))
+        rest = core.filter("not go").join(into.select("gone"), F.col("u") == F.col("gone"), "left_anti").select("part", "u", "v")
+        left = kept(rest.unionByName(into.join(out, "gone").select("part", F.col("before").alias("u"), F.col("after").alias("v"))).distinct())
+        turn += 1
+
+
 def topologies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, nodes, topology) of each group's graph: nodes (g, id), edges (g, u, v) within their group. Ids are unique over groups."""
-    own = edges.filter("u <> v").distinct()
+    own = kept(edges.select("g", "u", "v").filter("u <> v").distinct())
     parts = components(own).withColumnRenamed("component", "part")
-    level = levels(own)
-    ends = own.select("g", F.col("u").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(own.select("g", "v", F.lit(0), F.lit(1)))
-    degree = ends.groupBy("g", "id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    per = nodes.join(degree.drop("g"), "id", "left").join(parts, "id", "left").join(level, "id", "left").fillna(0, ["i", "o"]).withColumn("part", F.coalesce("part", "id")).withColumn("loose", F.col("level").isNull() & ((F.col("i") > 0) | (F.col("o") > 0)))
+    linked = own.join(parts.withColumnRenamed("id", "u"), "u").select("part", "u", "v")
+    degree = _degrees(linked)
+    loose = cyclic(linked).withColumn("loose", F.lit(True))
+    per = nodes.join(degree, "id", "left").join(loose, "part", "left").fillna(0, ["i", "o"]).withColumn("part", F.coalesce("part", "id"))
     g = per.groupBy("g").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("part").alias("parts"), F.count_if("loose").alias("loose"), F.max("i").alias("i"), F.max("o").alias("o"), F.count_if(F.col("i") == 0).alias("sources"), F.sum("o").alias("edges"))
     c = F.col
     kind = F.when(c("nodes") == 1, "Single-Node").when(c("parts") > 1, "Disconnected").when(c("loose") > 0, "Cycle").when((c("i") <= 1) & (c("o") <= 1), "Pipeline")

@@ -116,3 +116,38 @@ def test_ego(spark):
     ego = lambda *args: sorted(tuple(r) for r in structure.ego(frame, *args).collect())
     assert ego([1], 2, 50) == [(1, 2), (3, 2)] and ego([1, 9], 1, 50) == [(1, 2), (9, 8)]
     assert ego([1], 3, 3) == [(1, 2), (3, 2)] and ego([1], 4, 50) == [(1, 2), (3, 2), (3, 4), (4, 5)] and ego([7], 2, 50) == []
+
+
+def ordered(edges, nodes):
+    """Whether all nodes go when those that nothing points to are taken away again and again."""
+    left = set(nodes)
+    while free := {x for x in left if not any(v == x and u in left for u, v in edges)} & left:
+        left -= free
+    return not left
+
+
+def test_topologies(spark, monkeypatch):
+    """Of long ways, open, closed and with a short cut or a loop; and of random graphs: a table isn't written for each step of a way."""
+    rng, graphs = random.Random(6), []
+    for k in range(40):
+        n = rng.choice([2, 3, 5, 9])
+        graphs.append((n, {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(n + k % 3)) if a != b and (k % 2 or a < b)}))
+    way = {(i, i + 1) for i in range(299)}
+    graphs += [(300, way), (300, way | {(299, 0)}), (300, way | {(0, 299)}), (300, way | {(150, 140)}), (300, way | {(150, 140), (0, 299)}), (1, set()), (2, {(0, 1), (1, 0)})]
+    want = {}
+    for g, (n, edges) in enumerate(graphs):
+        whole = len(set(parts(edges, range(n)).values())) == 1
+        i, o = ([sum(e[side] == x for e in edges) for x in range(n)] for side in (1, 0))
+        kind = "Single-Node" if n == 1 else "Disconnected" if not whole else "Cycle" if not ordered(edges, range(n)) else "Pipeline" if max(i + o) <= 1 else None
+        want[g] = (n, kind or ("Tree" if len(edges) == n - 1 and i.count(0) == 1 else "Fork-Join" if max(i) > 1 and max(o) > 1 else "DAG"))
+    nodes = spark.createDataFrame([(g, 1000 * g + x) for g, (n, _) in enumerate(graphs) for x in range(n)], "g long, id long")
+    edges = spark.createDataFrame([(g, 1000 * g + a, 1000 * g + b) for g, (_, e) in enumerate(graphs) for a, b in [*e, (0, 0)]], "g long, u long, v long")
+    written = []
+    monkeypatch.setattr(structure, "kept", lambda df: written.append(df) or kept(df))
+    assert {r.g: (r.nodes, r.topology) for r in structure.topologies(nodes, edges).collect()} == want
+    assert {k for _, k in want.values()} >= {"Single-Node", "Disconnected", "Cycle", "Pipeline"} and len(written) < 150
+
+
+def test_topologies_of_no_edges(spark):
+    nodes, edges = spark.createDataFrame([(1, 5), (2, 6), (2, 7)], "g long, id long"), spark.createDataFrame([], "g long, u long, v long")
+    assert {tuple(r) for r in structure.topologies(nodes, edges).collect()} == {(1, 1, "Single-Node"), (2, 2, "Disconnected")}
